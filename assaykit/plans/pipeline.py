@@ -102,7 +102,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
     df = _classify(df)
     df = _audit_steps(df, config.policy)
     df = _scrub(df, config.policy)
-    return df.select(
+    out = df.select(
         "payload_id", "provider", N.source_format(F.col("provider")).alias("source_format"),
         "raw", "received_at", "ingested_at", "input_hash", "input_size_bytes", "stage",
         "error_kind", "error_message", "field_errors",
@@ -113,6 +113,11 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
         F.expr("coalesce(aggregate(assessments, 0, (acc, a) -> acc + size(a.scores)), 0)").alias("score_count"),
         "transformations",
     )
+    # Close the gate with a one-element generator: later filters on the
+    # outcome (stage = 'post', provider = ...) stop here instead of being
+    # pushed below the projections, where they would re-expand every stage
+    # expression into the filter condition.
+    return out.select(F.inline(F.array(F.struct(*[F.col(c) for c in out.columns]))))
 
 
 def _classify(df: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def provider_a_payloads(events: DataFrame) -> DataFrame:
     provider = F.when(e % 43 == 0, F.lit("provider_z")).otherwise(F.lit(PROVIDER_A))
     return _base(events).select(
         F.concat(F.lit("a-"), _s(e)).alias("payload_id"), provider.alias("provider"),
-        raw.alias("raw"), F.col("ts").alias("received_at"))
+        raw.alias("raw"), (F.col("ts") + F.expr("INTERVAL 1 HOURS")).alias("received_at"))
 
 
 def provider_b_payloads(events: DataFrame) -> DataFrame:
