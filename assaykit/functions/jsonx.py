@@ -1,8 +1,7 @@
 """Strict JSON reading on top of VARIANT.
 
-``try_parse_json`` accepts trailing text (``{"a":1} x``); wrapping the text in
-``[...]`` and requiring a one-element array rejects it, which matches a strict
-parser. Type tests read ``schema_of_variant`` of the addressed value, because
+``try_parse_json`` accepts trailing text (``{"a":1} x``); see
+:func:`strict_parse_sql` for the check that rejects it. Type tests read ``schema_of_variant`` of the addressed value, because
 ``try_variant_get(..., 'string')`` would also turn numbers into strings.
 """
 
@@ -14,8 +13,21 @@ NUMERIC_TYPES_RE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
 def strict_parse_sql(raw: str) -> str:
-    return (f"CASE WHEN array_size(try_variant_get(try_parse_json(concat('[', {raw}, ']')), '$', "
-            f"'array<variant>')) = 1 THEN try_parse_json({raw}) END")
+    """VARIANT of ``raw`` only when the whole text is exactly one JSON value.
+
+    The parser stops after the first value and ignores what follows, so the
+    text is parsed twice inside two different wrappers, ``[raw]`` and
+    ``[raw,1]``. If ``raw`` closed the wrapper early, both parses end inside
+    ``raw`` and give the same array; only a complete single value yields
+    sizes 1 and 2. The value itself is taken from the first parse.
+    """
+    w1 = f"try_parse_json(concat('[', {raw}, ']'))"
+    w2 = f"try_parse_json(concat('[', {raw}, ',1]'))"
+    return (f"CASE WHEN try_variant_get({w1}, '$[0]', 'variant') IS NOT NULL "
+            f"AND try_variant_get({w1}, '$[1]', 'variant') IS NULL "
+            f"AND try_variant_get({w2}, '$[1]', 'variant') IS NOT NULL "
+            f"AND try_variant_get({w2}, '$[2]', 'variant') IS NULL "
+            f"THEN try_variant_get({w1}, '$[0]', 'variant') END")
 
 
 def strict_parse(raw: str) -> Column:

@@ -29,6 +29,12 @@ def _unquote(x: str) -> str:
             f"ELSE {x} END")
 
 
+def _cells(line: str) -> str:
+    """Cells of one CSV line; the quote-aware split only runs on lines with a quote."""
+    return (f"CASE WHEN instr({line}, '\"') = 0 THEN split({line}, ',') "
+            f"ELSE transform(split({line}, '{CSV_SPLIT_RE}'), c -> {_unquote('c')}) END")
+
+
 def csv_columns() -> dict[str, Column]:
     """Parse a CSV payload (header by name) into ``csv_header`` / ``csv_rows``.
 
@@ -37,8 +43,8 @@ def csv_columns() -> dict[str, Column]:
     ``csv_odd_quotes`` and fails the payload's typed parse.
     """
     lines = ("filter(transform(split(raw, '\\n'), l -> regexp_replace(l, '\\r$', '')), l -> l != '')")
-    cells = f"transform(split(l, '{CSV_SPLIT_RE}'), c -> {_unquote('c')})"
-    header = f"transform(split(element_at(csv_lines, 1), '{CSV_SPLIT_RE}'), c -> {_unquote('c')})"
+    cells = _cells("l")
+    header = _cells("element_at(csv_lines, 1)")
 
     def cell(name: str) -> str:
         pos = f"cast(array_position(csv_header, '{name}') AS int)"

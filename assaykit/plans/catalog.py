@@ -822,3 +822,161 @@ def purge(spark, sf):
     li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_shipdate").alias("created_at"))
     as_of = o.agg(F.max("created_at").alias("as_of"))
     return purge_report(o, {"lineitem": li}, as_of, days=90)
+
+
+# ---------------------------------------------------------------------------
+# Sinks, store, replay, streams (these write to the shared checkpoint folder)
+# ---------------------------------------------------------------------------
+
+def _store(spark, name):
+    from assaykit.plans.store import TableStore
+    from assaykit.session import scratch_dir
+    return TableStore(spark, scratch_dir(spark, name))
+
+
+@query("sink_envelopes")
+def sink_envelopes(spark, sf):
+    """Persist the gate twice under one batch id (a retry) and once more as a
+    new batch: first write wins, so each assessment is stored exactly once."""
+    store = _store(spark, "sink-envelopes")
+    gate = _gate(spark, sf)
+    store.write_gate_batch(gate, 0)
+    store.write_gate_batch(gate, 0)
+    store.write_gate_batch(gate, 1)
+    a = store.read("assessments")
+    au = store.read("normalization_audit_log").select("assessment_id")
+    ob = store.read("outbox").select("assessment_id", "status")
+    rows = a.select("id", "source_provider").join(au.withColumnRenamed("assessment_id", "id"), "id", "left_semi") \
+        .join(ob.withColumnRenamed("assessment_id", "id"), "id")
+    return rows.groupBy("source_provider").agg(F.count("*").alias("n_assessments"),
+                                               F.count_if(F.col("status") == OUTBOX_PENDING).alias("n_pending"))
+
+
+@query("sink_errors")
+def sink_errors(spark, sf):
+    """Failures and violations persisted idempotently (keys: hash+provider, boundary+provider+hash)."""
+    store = _store(spark, "sink-errors")
+    gate = _gate(spark, sf)
+    store.write_gate_batch(gate, 0)
+    store.write_gate_batch(gate, 1)
+    f = store.read("failed_records").groupBy("provider", "error_kind").agg(F.count("*").alias("n"))
+    v = store.read("schema_violations").groupBy("provider", F.col("boundary").alias("error_kind")) \
+        .agg(F.count("*").alias("n"))
+    return f.withColumn("table_name", F.lit("failed_records")).unionByName(
+        v.withColumn("table_name", F.lit("schema_violations")))
+
+
+@query("sink_dead_letter")
+def sink_dead_letter(spark, sf):
+    """Deliveries that still fail after the last attempt are set aside and counted."""
+    from assaykit.schemas import RETRY_MAX_ATTEMPTS
+    o = table(spark, sf, "orders").select("o_orderkey")
+    needed = (F.col("o_orderkey") % 5).cast("int")   # attempt that succeeds; 0 = never
+    ok = (needed >= 1) & (needed <= RETRY_MAX_ATTEMPTS)
+    d = o.select("o_orderkey", ok.alias("ok"))
+    return d.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"),
+                  F.count_if(~F.col("ok")).alias("dead_letters"))
+
+
+def _replay_inputs(spark, sf):
+    """Failures of a first run in which provider C was not yet enabled.
+
+    A failures keep their raw input (internal policy), B failures only the
+    HMAC (strict policy); every 5th A failure is already marked replayed."""
+    e = _events(spark, sf)
+    pays = synth.mixed_payloads(e)
+    first = P.run_gate(pays, P.GateConfig(INTERNAL, ("provider_a", "provider_b")))
+    fa = P.failed_rows(first.filter(F.col("provider") != "provider_b"), INTERNAL)
+    fb = P.failed_rows(first.filter(F.col("provider") == "provider_b"), STRICT)
+    f = A.first_wins(fa.unionByName(fb), ["input_hash", "provider"], ["created_at", "payload_id"])
+    n = F.regexp_extract("payload_id", r"^a-(\d+)$", 1)
+    marked = (F.col("provider").isin("provider_a", "provider_z") & (n != "") & (n.cast("long") % 5 == 0))
+    return f.withColumn("replayed", marked)
+
+
+@query("replay")
+def q_replay(spark, sf):
+    from assaykit.plans.replay import replay
+    f = _replay_inputs(spark, sf)
+    out, _ = replay(f, P.GateConfig(INTERNAL))
+    ids = f.select("id", "payload_id")
+    return out.join(ids, "id").select("payload_id", "provider", "outcome", "n_assessments")
+
+
+@query("j_replay")
+def j_replay(spark, sf):
+    from assaykit.plans.replay import mark_replayed, replay
+    f = _replay_inputs(spark, sf)
+    out, _ = replay(f, P.GateConfig(INTERNAL))
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    m = mark_replayed(f, out, as_of)
+    return m.groupBy("provider", "replayed", F.col("replayed_at").isNotNull().alias("has_replayed_at")) \
+        .agg(F.count("*").alias("n"))
+
+
+def _time_ordered_files(spark, df, ts, name, n_files=6):
+    """Write ``df`` as ``n_files`` Parquet files in time order (one job each)."""
+    from assaykit.session import scratch_dir
+    root = scratch_dir(spark, name)
+    bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    step = (hi - lo) / n_files
+    for i in range(n_files):
+        a = lo + step * i
+        part = df.filter((F.col(ts) >= F.lit(a)) & ((F.col(ts) < F.lit(a + step)) if i < n_files - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root
+
+
+@query("st_dedup_window")
+def st_dedup_window(spark, sf):
+    """Exact 600 s duplicate window over events and their re-sent copies,
+    as a stateful stream (state = last accepted time per event id)."""
+    from assaykit.streaming.jobs import dedup_exact
+    df = _events_with_redelivery(spark, sf).select("event_id", "ts", "user_id", "event_type")
+    root = _time_ordered_files(spark, df, "ts", "dedup")
+    schema = df.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    q = (dedup_exact(stream, "event_id", "ts").writeStream.format("parquet")
+         .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out").select("event_id", "ts")
+
+
+@query("stream_payloads")
+def stream_payloads(spark, sf):
+    """Payload files consumed as a stream (several micro-batches), gated and
+    persisted per batch; the stored assessments, counted per provider."""
+    from assaykit.streaming.jobs import payload_stream, start_normalizer
+    store = _store(spark, "stream-store")
+    p = synth.mixed_payloads(_events(spark, sf))
+    src = f"{store.root}/incoming"
+    p.repartition(4, "payload_id").write.mode("overwrite").parquet(src)
+    q = start_normalizer(payload_stream(spark, src, max_files_per_trigger=2), store, f"{store.root}/ckpt",
+                         P.GateConfig(STRICT))
+    q.awaitTermination()
+    a = store.read("assessments")
+    f = store.read("failed_records")
+    return a.groupBy("source_provider").agg(F.count("*").alias("n_assessments")).join(
+        f.groupBy(F.col("provider").alias("source_provider")).agg(F.count("*").alias("n_failed")),
+        "source_provider", "full")
+
+
+def _sweep_deliver(fan, _opts):
+    ok = F.when(F.col("sink_name") == "http_main", F.substring("assessment_id", 1, 1) < F.lit("8")).otherwise(F.lit(True))
+    return fan.select("assessment_id", "sink_name", ok.alias("ok"),
+                      F.when(~ok, F.lit("503 from endpoint")).alias("error"))
+
+
+@query("st_sweep")
+def st_sweep(spark, sf):
+    """One sweep over a stored outbox: the 100 oldest stale rows re-driven."""
+    from assaykit.streaming.jobs import run_sweep
+    store = _store(spark, "sweep")
+    store.write_gate_batch(_gate(spark, sf), 0)
+    as_of_row = store.read("outbox").agg(F.max("created_at").alias("m")).first()
+    as_of = F.lit(as_of_row["m"]) + F.expr("INTERVAL 1 DAYS")
+    sinks = J.active_sinks(J.sinks_frame(spark, SINKS))
+    states = run_sweep(store, sinks, _sweep_deliver, as_of, batch_id=1)
+    return states.select("assessment_id", "status", "retries", F.col("flushed_at").isNotNull().alias("flushed"))

@@ -688,3 +688,60 @@ UNION ALL
 SELECT 'lineitem', (SELECT count(*) FROM lineitem) - k.kept, k.kept
 FROM (SELECT count(*) AS kept FROM lineitem, a WHERE l_shipdate >= cutoff
       AND l_orderkey NOT IN (SELECT o_orderkey FROM exp)) k""")
+
+
+_o("sink_envelopes", f"""WITH {SCORES}
+SELECT provider AS source_provider, count(*) AS n_assessments, count(*) AS n_pending FROM asm GROUP BY provider""")
+
+_o("sink_errors", f"""WITH {_FAILED}
+SELECT provider, error_kind, count(DISTINCT input_hash) AS n, 'failed_records' AS table_name FROM f GROUP BY ALL
+UNION ALL
+SELECT provider, boundary, count(DISTINCT input_hash), 'schema_violations' FROM vr GROUP BY ALL""")
+
+_o("sink_dead_letter", """SELECT count(*) FILTER (WHERE o_orderkey % 5 BETWEEN 1 AND 3) AS succeeded,
+  count(*) FILTER (WHERE NOT (o_orderkey % 5 BETWEEN 1 AND 3)) AS failed,
+  count(*) FILTER (WHERE NOT (o_orderkey % 5 BETWEEN 1 AND 3)) AS dead_letters FROM orders""")
+
+_REPLAY = f"""{GATE},
+rf AS (
+  SELECT * FROM (
+    SELECT payload_id, provider, stage, n_assessments,
+           row_number() OVER (PARTITION BY provider, input_hash ORDER BY received_at, payload_id) AS rn
+    FROM gk WHERE stage <> 'ok' OR provider = 'provider_c') WHERE rn = 1),
+ro AS (
+  SELECT payload_id, provider,
+    CASE WHEN provider IN ('provider_a', 'provider_z') AND CAST(substr(payload_id, 3) AS BIGINT) % 5 = 0
+           THEN 'already_replayed'
+         WHEN provider = 'provider_b' THEN 'replay_requires_resubmission'
+         WHEN provider = 'provider_c' AND stage = 'ok' THEN 'replayed'
+         ELSE 'error' END AS outcome,
+    CASE WHEN provider = 'provider_c' AND stage = 'ok' THEN n_assessments ELSE 0 END AS n_assessments
+  FROM rf)"""
+
+_o("replay", f"""WITH {_REPLAY}
+SELECT payload_id, provider, outcome, n_assessments FROM ro""")
+
+_o("j_replay", f"""WITH {_REPLAY}
+SELECT provider, outcome IN ('already_replayed', 'replayed') AS replayed, outcome = 'replayed' AS has_replayed_at,
+       count(*) AS n FROM ro GROUP BY ALL""")
+
+_o("st_dedup_window", f"""WITH RECURSIVE {REDELIVERED},
+chain(event_id, ts) AS (
+  SELECT event_id, min(ts) FROM rd GROUP BY event_id
+  UNION ALL
+  SELECT c.event_id, (SELECT min(r.ts) FROM rd r WHERE r.event_id = c.event_id AND r.ts >= c.ts + INTERVAL 600 SECOND)
+  FROM chain c WHERE c.ts IS NOT NULL)
+SELECT event_id, ts FROM chain WHERE ts IS NOT NULL""")
+
+_o("stream_payloads", f"""WITH {SCORES}
+SELECT coalesce(a.provider, f.provider) AS source_provider, a.n AS n_assessments, f.n AS n_failed
+FROM (SELECT provider, count(*) AS n FROM asm GROUP BY provider) a
+FULL JOIN (SELECT provider, count(DISTINCT input_hash) AS n FROM gk WHERE stage <> 'ok' GROUP BY provider) f
+  ON a.provider = f.provider""")
+
+_o("st_sweep", f"""WITH {SCORES},
+top AS (SELECT assessment_id, ingested_at FROM asm ORDER BY ingested_at, assessment_id LIMIT 100)
+SELECT assessment_id, CASE WHEN substr(assessment_id, 1, 1) < '8' THEN 'flushed' ELSE 'pending' END AS status,
+       CAST(CASE WHEN substr(assessment_id, 1, 1) < '8' THEN 0 ELSE 1 END AS INTEGER) AS retries,
+       substr(assessment_id, 1, 1) < '8' AS flushed
+FROM top""")

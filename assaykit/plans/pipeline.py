@@ -45,6 +45,20 @@ class GateConfig:
         return [p for p in known if not self.enabled or p in self.enabled]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give the CPU-heavy gate at least one task per core.
+
+    A small input (one Parquet split) would run the gate on one core; it is
+    round-robin repartitioned to the session's parallelism. A large input
+    already has more splits than cores and is left alone, so no shuffle is
+    added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def _with_each(df: DataFrame, cols: dict) -> DataFrame:
     for name, col in cols.items():
         df = df.withColumn(name, col)
@@ -60,7 +74,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
     """Run every stage for every payload; see the module docstring."""
     providers = config.providers
     known = F.col("provider").isin(providers) if providers else F.lit(False)
-    df = payloads.select(
+    df = spread(payloads).select(
         "payload_id", "provider", "raw", "received_at",
         F.coalesce("received_at", F.current_timestamp()).alias("ingested_at"),
         hashing.input_hash(F.col("raw")).alias("input_hash"),
