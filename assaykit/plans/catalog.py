@@ -431,12 +431,34 @@ def _as_of_max(df, col):
     return df.agg(F.max(col).alias("as_of"))
 
 
+def _failures_by_time(g):
+    """Failed payloads and violation rows counted per (created_at, boundary, provider).
+
+    ``boundary`` is NULL for failures without violations. Every consumer
+    reads this one aggregate (its exchange is reused), so the gate runs once
+    even though ``as_of`` is derived from the same rows.
+    """
+    boundary = F.when(F.col("stage") == "pre", "pre_transform").when(F.col("stage") == "post", "post_transform")
+    return (g.filter(F.col("stage") != P.STAGE_OK)
+            .groupBy(F.col("ingested_at").alias("created_at"), boundary.alias("boundary"), "provider")
+            .agg(F.count("*").alias("n_failed"), F.count(boundary).alias("n")))
+
+
+def _recent(by_time, hours=1):
+    v = by_time.filter(F.col("n") > 0)
+    as_of = v.agg(F.max("created_at").alias("as_of"))
+    return v.crossJoin(F.broadcast(as_of)).filter(
+        F.col("created_at") >= F.col("as_of") - F.expr(f"INTERVAL {hours} HOURS"))
+
+
 @query("agg_violations_recent")
 def agg_violations_recent(spark, sf):
-    v = P.violation_rows(_gate(spark, sf))
-    as_of = _as_of_max(v, "created_at")
-    recent = v.crossJoin(as_of).filter(F.col("created_at") >= F.col("as_of") - F.expr("INTERVAL 1 HOURS"))
-    return A.grouped_counts(recent, ["boundary", "provider"])
+    recent = _recent(_failures_by_time(_gate(spark, sf)))
+    agg = recent.groupingSets([[], ["boundary"], ["provider"]], "boundary", "provider").agg(
+        F.sum("n").alias("n"), F.grouping("boundary").alias("_gb"), F.grouping("provider").alias("_gp"))
+    level = F.when(F.col("_gb") == 0, "boundary").when(F.col("_gp") == 0, "provider").otherwise("total")
+    key = F.when(F.col("_gb") == 0, F.col("boundary")).when(F.col("_gp") == 0, F.col("provider"))
+    return agg.select(level.alias("grouping"), key.alias("key"), "n")
 
 
 def _orders_outbox(spark, sf):
@@ -457,12 +479,10 @@ def agg_outbox_status(spark, sf):
 
 @query("audit_verdict")
 def audit_verdict(spark, sf):
-    g = _gate(spark, sf)
-    failed = P.failed_rows(g).agg(F.count_if(~F.col("replayed")).alias("failed_unreplayed"))
-    v = P.violation_rows(g)
-    recent = (v.crossJoin(_as_of_max(v, "created_at"))
-              .agg(F.count_if(F.col("created_at") >= F.col("as_of") - F.expr("INTERVAL 1 HOURS"))
-                   .alias("violations_recent")))
+    """The three audit checks in one pass over the gate, then the verdict."""
+    by_time = _failures_by_time(_gate(spark, sf))
+    failed = by_time.agg(F.coalesce(F.sum("n_failed"), F.lit(0)).alias("failed_unreplayed"))
+    recent = _recent(by_time).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations_recent"))
     ob = A.outbox_status(_orders_outbox(spark, sf))
     row = failed.crossJoin(recent).crossJoin(ob)
     cols = A.audit_verdict(F.col("failed_unreplayed"), F.col("violations_recent"), F.col("pending"), F.col("failed"))

@@ -77,8 +77,6 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
     df = spread(payloads).select(
         "payload_id", "provider", "raw", "received_at",
         F.coalesce("received_at", F.current_timestamp()).alias("ingested_at"),
-        hashing.input_hash(F.col("raw")).alias("input_hash"),
-        hashing.input_size(F.col("raw")).alias("input_size_bytes"),
         known.alias("known"),
     )
     # one strict parse per JSON payload, reused by every later stage
@@ -113,10 +111,23 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
         "WHEN size(post) > 0 THEN 'post' "
         "WHEN size(out_errors) > 0 THEN 'output' "
         f"ELSE '{STAGE_OK}' END"))
+    # Close the decision part with a one-element generator: later filters on
+    # the outcome (stage = 'post', provider = ...) stop here instead of being
+    # pushed below the projections, where they would re-expand every stage
+    # expression into the filter condition. Everything derived below this
+    # point (hashes, audit JSON, HMAC scrub, messages) stays prunable, so a
+    # query that only needs the stage does not compute them.
+    kept = ["payload_id", "provider", "raw", "received_at", "ingested_at", "pre", "deep_ok", "b_has_numeric",
+            "norm_ok", "csv_keys", "assessments", "post", "out_errors", "stage"]
+    df = df.select(F.inline(F.array(F.struct(*[F.col(c) for c in kept]))))
+    df = df.withColumns({
+        "input_hash": hashing.input_hash(F.col("raw")),
+        "input_size_bytes": hashing.input_size(F.col("raw")),
+    })
     df = _classify(df)
     df = _audit_steps(df, config.policy)
     df = _scrub(df, config.policy)
-    out = df.select(
+    return df.select(
         "payload_id", "provider", N.source_format(F.col("provider")).alias("source_format"),
         "raw", "received_at", "ingested_at", "input_hash", "input_size_bytes", "stage",
         "error_kind", "error_message", "field_errors",
@@ -127,11 +138,6 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
         F.expr("coalesce(aggregate(assessments, 0, (acc, a) -> acc + size(a.scores)), 0)").alias("score_count"),
         "transformations",
     )
-    # Close the gate with a one-element generator: later filters on the
-    # outcome (stage = 'post', provider = ...) stop here instead of being
-    # pushed below the projections, where they would re-expand every stage
-    # expression into the filter condition.
-    return out.select(F.inline(F.array(F.struct(*[F.col(c) for c in out.columns]))))
 
 
 def _classify(df: DataFrame) -> DataFrame:
