@@ -1000,3 +1000,30 @@ def st_sweep(spark, sf):
     sinks = J.active_sinks(J.sinks_frame(spark, SINKS))
     states = run_sweep(store, sinks, _sweep_deliver, as_of, batch_id=1)
     return states.select("assessment_id", "status", "retries", F.col("flushed_at").isNotNull().alias("flushed"))
+
+
+@query("scan_assessments")
+def scan_assessments(spark, sf):
+    """Stored assessments read back and rebuilt as the nested camelCase object."""
+    store = _store(spark, "scan-assessments")
+    store.write_gate_batch(_gate(spark, sf), 0)
+    a = store.read("assessments")
+    j = a.select(P.camel_json(a).alias("j"))
+    parsed = j.select(F.from_json("j", "id string, scores array<struct<dimension:string,value:double,"
+                                       "scale:string>>, metadata struct<sourceProvider:string>").alias("o"))
+    return parsed.select(F.col("o.id").alias("assessment_id"), F.size("o.scores").alias("n_scores"),
+                         F.col("o.metadata.sourceProvider").alias("source_provider"))
+
+
+@query("sink_json")
+def sink_json(spark, sf):
+    """Assessment JSON delivered as files (one document per line), read back."""
+    from assaykit.session import scratch_dir
+    from assaykit.streaming.jobs import deliver_json
+    a = P.assessment_rows(_gate(spark, sf))
+    out = scratch_dir(spark, "sink-json")
+    deliver_json(a.select(P.camel_json(a).alias("assessment_json")), out)
+    back = spark.read.schema("id string, patientId string, assessmentType string, "
+                             "scores array<struct<dimension:string,value:double,scale:string>>").json(out)
+    return back.select(F.col("id").alias("assessment_id"), F.col("patientId").alias("patient_id"),
+                       F.col("assessmentType").alias("assessment_type"), F.size("scores").alias("n_scores"))

@@ -745,3 +745,9 @@ SELECT assessment_id, CASE WHEN substr(assessment_id, 1, 1) < '8' THEN 'flushed'
        CAST(CASE WHEN substr(assessment_id, 1, 1) < '8' THEN 0 ELSE 1 END AS INTEGER) AS retries,
        substr(assessment_id, 1, 1) < '8' AS flushed
 FROM top""")
+
+_o("scan_assessments", f"""WITH {SCORES}
+SELECT assessment_id, CAST(n_scores AS INTEGER) AS n_scores, provider AS source_provider FROM asm""")
+
+_o("sink_json", f"""WITH {SCORES}
+SELECT assessment_id, {hmac('pid')} AS patient_id, assessment_type, CAST(n_scores AS INTEGER) AS n_scores FROM asm""")
