@@ -45,18 +45,21 @@ class GateConfig:
         return [p for p in known if not self.enabled or p in self.enabled]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give the CPU-heavy gate at least one task per core.
+GATE_PARTITIONS_CONF = "spark.assaykit.gate.partitions"
+
 
-    A small input (one Parquet split) would run the gate on one core; it is
-    round-robin repartitioned to the session's parallelism. A large input
-    already has more splits than cores and is left alone, so no shuffle is
-    added at scale.
+def spread(df: DataFrame) -> DataFrame:
+    """Optionally give the CPU-heavy gate one task per core.
+
+    Local sessions (see :func:`assaykit.session.get_spark`) set
+    ``spark.assaykit.gate.partitions`` to the core count, because a small
+    input (one Parquet split) would otherwise run the gate on one core. On a
+    cluster the setting is absent: the input already has far more splits
+    than cores, and no shuffle is added. (Asking the DataFrame for its
+    partition count instead would execute the input's shuffle stages.)
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    n = df.sparkSession.conf.get(GATE_PARTITIONS_CONF, None)
+    return df.repartition(int(n)) if n else df
 
 
 def _with_each(df: DataFrame, cols: dict) -> DataFrame:

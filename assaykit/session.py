@@ -32,6 +32,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if master and master.startswith("local"):
+        cores = master[master.find("[") + 1:master.find("]")] if "[" in master else "1"
+        cores = str(os.cpu_count() or 1) if cores == "*" else cores
+        conf["spark.assaykit.gate.partitions"] = cores   # spread single-split local inputs over cores
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
