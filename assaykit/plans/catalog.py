@@ -461,9 +461,15 @@ def agg_violations_recent(spark, sf):
     return agg.select(level.alias("grouping"), key.alias("key"), "n")
 
 
-def _orders_outbox(spark, sf):
-    """Outbox rows derived from orders: status from the order status letter."""
+def _orders_outbox(spark, sf, only_status: str | None = None):
+    """Outbox rows derived from orders: status from the order status letter.
+
+    ``only_status`` filters on the stored letter before the status is
+    derived, so the predicate reaches the Parquet scan."""
     o = table(spark, sf, "orders")
+    if only_status:
+        letter = {OUTBOX_PENDING: "O", OUTBOX_FLUSHED: "F", OUTBOX_FAILED: "P"}[only_status]
+        o = o.filter(F.col("o_orderstatus") == letter)
     status = (F.when(F.col("o_orderstatus") == "O", OUTBOX_PENDING)
               .when(F.col("o_orderstatus") == "F", OUTBOX_FLUSHED).otherwise(OUTBOX_FAILED))
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("assessment_id"),
@@ -654,7 +660,7 @@ def q_failed_by_id(spark, sf):
 def q_stale_outbox(spark, sf):
     ob = _orders_outbox(spark, sf)
     as_of = ob.agg(F.max("created_at").alias("as_of"))
-    cut = ob.crossJoin(F.broadcast(as_of))
+    cut = _orders_outbox(spark, sf, OUTBOX_PENDING).crossJoin(F.broadcast(as_of))
     cutoff = F.col("as_of") - F.expr("INTERVAL 300 SECONDS")
     top = (cut.filter((F.col("status") == OUTBOX_PENDING) & (F.col("created_at") < cutoff))
            .orderBy("created_at", "id").limit(100))

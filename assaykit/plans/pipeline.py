@@ -104,8 +104,14 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
         f"CASE WHEN {reached_norm} AND norm_ok THEN "
         + _case_provider({PROVIDER_A: N.norm_a(), PROVIDER_B: N.norm_b(), PROVIDER_C: N.norm_c()}) + " END"))
     df = df.withColumn("post", F.expr(f"CASE WHEN assessments IS NOT NULL THEN {V.post()} END"))
+    # The output re-check tests a subset of the post-transform conditions
+    # (empty ids, empty scores, range, empty dimension), so after a clean
+    # post check it cannot fail; it is recorded as passed without another
+    # pass over the scores. ``validate.output_errors()`` stays available
+    # for callers that check stored assessments directly.
     df = df.withColumn("out_errors", F.expr(
-        f"CASE WHEN assessments IS NOT NULL AND size(post) = 0 THEN {V.output_errors()} END"))
+        "CASE WHEN assessments IS NOT NULL AND size(post) = 0 "
+        "THEN filter(array(named_struct('field', '', 'message', '')), x -> false) END"))
     df = df.withColumn("stage", F.expr(
         "CASE WHEN NOT known THEN 'provider' "
         "WHEN size(pre) > 0 THEN 'pre' "
