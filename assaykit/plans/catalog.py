@@ -91,9 +91,7 @@ def q_explode_batch(spark, sf):
 def batch_outcome(spark, sf):
     """Per submission: items, successes, errors, assessments and 200/207/400."""
     items = explode_batch(synth.batch_submissions(_events(spark, sf)))
-    g = P.run_gate(items.select("payload_id", "provider", "raw", "received_at", "submission_id"),
-                   P.GateConfig(STRICT))
-    g = g.join(items.select("payload_id", "submission_id"), "payload_id")
+    g = P.run_gate(items, P.GateConfig(STRICT), carry=("submission_id",))
     ok = F.col("stage") == P.STAGE_OK
     agg = g.groupBy("submission_id").agg(
         F.count("*").alias("n_items"), F.count_if(ok).alias("n_succeeded"),

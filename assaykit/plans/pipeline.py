@@ -73,12 +73,16 @@ def _case_provider(arms: dict[str, str], default: str = "NULL") -> str:
     return f"CASE provider {body} ELSE {default} END"
 
 
-def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:
-    """Run every stage for every payload; see the module docstring."""
+def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Run every stage for every payload; see the module docstring.
+
+    ``carry`` names extra input columns passed through unchanged (e.g. the
+    submission a batch item belongs to), so callers need no join back.
+    """
     providers = config.providers
     known = F.col("provider").isin(providers) if providers else F.lit(False)
     df = spread(payloads).select(
-        "payload_id", "provider", "raw", "received_at",
+        *carry, "payload_id", "provider", "raw", "received_at",
         F.coalesce("received_at", F.current_timestamp()).alias("ingested_at"),
         known.alias("known"),
     )
@@ -126,7 +130,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
     # expression into the filter condition. Everything derived below this
     # point (hashes, audit JSON, HMAC scrub, messages) stays prunable, so a
     # query that only needs the stage does not compute them.
-    kept = ["payload_id", "provider", "raw", "received_at", "ingested_at", "pre", "deep_ok", "b_has_numeric",
+    kept = [*carry, "payload_id", "provider", "raw", "received_at", "ingested_at", "pre", "deep_ok", "b_has_numeric",
             "norm_ok", "csv_keys", "assessments", "post", "out_errors", "stage"]
     df = df.select(F.inline(F.array(F.struct(*[F.col(c) for c in kept]))))
     df = df.withColumns({
@@ -137,7 +141,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig()) -> DataFram
     df = _audit_steps(df, config.policy)
     df = _scrub(df, config.policy)
     return df.select(
-        "payload_id", "provider", N.source_format(F.col("provider")).alias("source_format"),
+        *carry, "payload_id", "provider", N.source_format(F.col("provider")).alias("source_format"),
         "raw", "received_at", "ingested_at", "input_hash", "input_size_bytes", "stage",
         "error_kind", "error_message", "field_errors",
         F.coalesce("pre", F.expr("filter(array(named_struct('field', '', 'expected', '', 'actual', '', "
