@@ -75,12 +75,24 @@ def audit_verdict(failed_unreplayed: Column, violations_recent_n: Column,
     }
 
 
-def violations_by_boundary(violation_events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Group tagged violations by boundary within each failure (one row per boundary)."""
-    flat = violation_events.select(*keys, F.explode("violations").alias("x"))
-    return (flat.groupBy(*keys, F.col("x.boundary").alias("boundary"))
-            .agg(F.collect_list(F.struct("x.field", "x.expected", "x.actual", "x.message")).alias("violations"),
-                 F.count("*").alias("n_violations")))
+def violations_by_boundary(violation_events: DataFrame, keys: Sequence[str],
+                           boundaries: Sequence[str] = ("pre_transform", "post_transform")) -> DataFrame:
+    """Split each failure's tagged violations by boundary (one row per boundary present).
+
+    Runs inside each row with ``filter`` per boundary: no shuffle, and the
+    violations keep their order.
+    """
+    def on(b):
+        return lambda x: x["boundary"] == F.lit(b)
+
+    groups = F.array(*[F.struct(F.lit(b).alias("boundary"), F.filter("violations", on(b)).alias("v"))
+                       for b in boundaries])
+    per = violation_events.select(*keys, F.explode(groups).alias("g")).filter(F.size("g.v") > 0)
+    return per.select(*keys, F.col("g.boundary").alias("boundary"),
+                      F.transform("g.v", lambda x: F.struct(x["field"].alias("field"), x["expected"].alias("expected"),
+                                                            x["actual"].alias("actual"), x["message"].alias("message")))
+                      .alias("violations"),
+                      F.size("g.v").alias("n_violations"))
 
 
 def counters(df: DataFrame, labels: Sequence[str], name: str = "n") -> DataFrame:

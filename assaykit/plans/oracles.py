@@ -751,3 +751,18 @@ SELECT assessment_id, CAST(n_scores AS INTEGER) AS n_scores, provider AS source_
 
 _o("sink_json", f"""WITH {SCORES}
 SELECT assessment_id, {hmac('pid')} AS patient_id, assessment_type, CAST(n_scores AS INTEGER) AS n_scores FROM asm""")
+
+_o("stream_outbox", f"""WITH {SCORES}
+SELECT 'assessments' AS table_name, provider AS key, count(*) AS n FROM asm GROUP BY provider
+UNION ALL SELECT 'normalization_audit_log', 'all', count(*) FROM asm
+UNION ALL SELECT 'legacy_deliveries', 'all', count(*) FROM asm WHERE provider = 'provider_c'
+UNION ALL SELECT 'quarantine', 'all', count(*) FROM pb WHERE event_id % 10 = 0""")
+
+ORACLES["stream_errors"] = ORACLES["sink_errors"]
+
+_o("v_unknown_provider", f"""WITH {GATE}
+SELECT payload_id, provider, 'unknown provider: ' || provider AS error_message FROM g WHERE stage = 'provider'""")
+
+ORACLES["q_provider_enabled"] = ORACLES["j_enabled"]
+ORACLES["sink_fanout"] = ORACLES["j_fanout"]
+ORACLES["agg_purge_report"] = ORACLES["purge"]

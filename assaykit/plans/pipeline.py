@@ -260,7 +260,7 @@ def camel_json(assessments: DataFrame) -> F.Column:
 def audit_payload(assessments: DataFrame) -> F.Column:
     return F.struct(
         "input_hash", "input_size_bytes",
-        F.col("transformations").alias("transformations"),
+        F.parse_json(F.col("transformations")).alias("transformations"),
         F.lit(None).cast("long").alias("duration_us"),
         F.col("source_provider").alias("provider"), "source_format", "score_count")
 
@@ -330,3 +330,27 @@ def error_events(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataFra
         "payload_id", "provider", "error_kind", F.col("input_hash").alias("raw_input_hash"),
         pii.raw_input_for_storage(F.col("raw"), policy).alias("raw_input_ref"),
         "error_message", tagged.alias("violations"), F.col("ingested_at").alias("created_at"))
+
+
+ENVELOPE_SCHEMA = (
+    "assessment struct<id: string, patientId: string, assessmentDate: timestamp, assessmentType: string, "
+    "scores: array<struct<dimension: string, value: double, scale: string>>, "
+    "metadata: struct<sourceProvider: string, sourceFormat: string, ingestedAt: timestamp, version: string>>, "
+    "audit struct<input_hash: string, input_size_bytes: int, transformations: variant, duration_us: bigint, "
+    "provider: string, source_format: string, score_count: int>")
+
+
+def rows_from_envelopes(messages: DataFrame, body: str = "body") -> DataFrame:
+    """Envelope JSON -> assessment-row shape (the inverse of :func:`envelope_json`)."""
+    e = messages.select(F.from_json(F.col(body), ENVELOPE_SCHEMA, {"timestampFormat": TS_FORMAT}).alias("e"))
+    a, au = "e.assessment", "e.audit"
+    return e.select(
+        F.col(f"{a}.id").alias("id"), F.col(f"{a}.patientId").alias("patient_id"),
+        F.col(f"{a}.assessmentDate").alias("assessment_date"), F.col(f"{a}.assessmentType").alias("assessment_type"),
+        F.col(f"{a}.scores").alias("scores"), F.col(f"{a}.metadata.sourceProvider").alias("source_provider"),
+        F.col(f"{a}.metadata.sourceFormat").alias("source_format"),
+        F.col(f"{a}.metadata.ingestedAt").alias("ingested_at"), F.col(f"{a}.metadata.version").alias("version"),
+        F.col(f"{a}.metadata.ingestedAt").alias("created_at"),
+        F.col(f"{au}.input_hash").alias("input_hash"), F.col(f"{au}.input_size_bytes").alias("input_size_bytes"),
+        F.col(f"{au}.score_count").alias("score_count"),
+        F.to_json(F.col(f"{au}.transformations")).alias("transformations"))

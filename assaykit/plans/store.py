@@ -124,6 +124,28 @@ class TableStore:
         finally:
             gate.unpersist()
 
+    def write_envelope_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """Persist assessments + audit + outbox from envelope rows (all or nothing)."""
+        rows = rows.persist()
+        try:
+            a_rows = self._insert_absent("assessments", rows.select(*P_ASSESSMENT_COLS), ["created_at"], batch_id)
+            self._write("assessments", a_rows, batch_id)
+            stored_a = self.spark.read.parquet(self.path("assessments")).filter(F.col(PART) == batch_id)
+            kept = rows.join(stored_a.select("id"), "id", "left_semi")
+            self._write("normalization_audit_log",
+                        self._insert_absent("normalization_audit_log", P.audit_rows(kept), ["created_at"], batch_id),
+                        batch_id)
+            self._write("outbox", self._insert_absent("outbox", P.outbox_rows(kept), ["created_at"], batch_id),
+                        batch_id)
+            self._commit(batch_id)
+        finally:
+            rows.unpersist()
+
+    def write_table_batch(self, table: str, rows: DataFrame, batch_id: int) -> None:
+        """Append a batch to a plain (unkeyed) table, e.g. a quarantine."""
+        self._write(table, rows, batch_id)
+        self._commit(batch_id)
+
     # -- outbox state --------------------------------------------------------
     def append_outbox_state(self, states: DataFrame, batch_id: int) -> None:
         """Append state events ``(assessment_id, status, retries, flushed_at)``."""
