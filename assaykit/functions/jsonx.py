@@ -12,17 +12,21 @@ from pyspark.sql import Column, functions as F
 NUMERIC_TYPES_RE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
-def strict_parse_sql(raw: str) -> str:
+def strict_wrappers_sql(raw: str) -> tuple[str, str]:
+    """The two wrapper parses used by :func:`strict_from_wrappers_sql`."""
+    return (f"try_parse_json(concat('[', {raw}, ']'))", f"try_parse_json(concat('[', {raw}, ',1]'))")
+
+
+def strict_from_wrappers_sql(w1: str, w2: str) -> str:
     """VARIANT of ``raw`` only when the whole text is exactly one JSON value.
 
     The parser stops after the first value and ignores what follows, so the
-    text is parsed twice inside two different wrappers, ``[raw]`` and
-    ``[raw,1]``. If ``raw`` closed the wrapper early, both parses end inside
-    ``raw`` and give the same array; only a complete single value yields
-    sizes 1 and 2. The value itself is taken from the first parse.
+    text is parsed twice inside two different wrappers, ``[raw]`` (``w1``)
+    and ``[raw,1]`` (``w2``). If ``raw`` closed the wrapper early, both
+    parses end inside ``raw`` and give the same array; only a complete single
+    value yields sizes 1 and 2. The value itself is taken from ``w1``.
+    Pass column names so each parse runs once per row.
     """
-    w1 = f"try_parse_json(concat('[', {raw}, ']'))"
-    w2 = f"try_parse_json(concat('[', {raw}, ',1]'))"
     return (f"CASE WHEN try_variant_get({w1}, '$[0]', 'variant') IS NOT NULL "
             f"AND try_variant_get({w1}, '$[1]', 'variant') IS NULL "
             f"AND try_variant_get({w2}, '$[1]', 'variant') IS NOT NULL "
@@ -30,6 +34,11 @@ def strict_parse_sql(raw: str) -> str:
             f"THEN try_variant_get({w1}, '$[0]', 'variant') END")
 
 
+def strict_parse_sql(raw: str) -> str:
+    """Single-expression form (parses inline; prefer the two-column form in plans)."""
+    return strict_from_wrappers_sql(*strict_wrappers_sql(raw))
+
+
 def strict_parse(raw: str) -> Column:
     return F.expr(strict_parse_sql(raw))
 

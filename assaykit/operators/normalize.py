@@ -76,18 +76,18 @@ def _score(dim: str, value: str) -> str:
 
 def norm_a() -> str:
     """Nested JSON: scores x10 (0-10 -> 0-100, no clamp); date or ingest time."""
-    scores = ("transform(map_entries(try_variant_get(v, '$.assessment.scores', 'map<string,variant>')), "
-              "e -> " + _score("e.key", "try_variant_get(e.value, '$', 'double') * 10.0D") + ")")
+    scores = ("transform(map_entries(sm), e -> "
+              + _score("e.key", "try_variant_get(e.value, '$', 'double') * 10.0D") + ")")
     return ("array(named_struct("
-            "'patient_id', try_variant_get(v, '$.patient.id', 'string'), "
-            "'assessment_date', coalesce(try_variant_get(v, '$.assessment.date', 'timestamp'), ingested_at), "
-            "'assessment_type', try_variant_get(v, '$.assessment.type', 'string'), "
+            "'patient_id', try_variant_get(try_element_at(pm, 'id'), '$', 'string'), "
+            "'assessment_date', coalesce(try_variant_get(try_element_at(am, 'date'), '$', 'timestamp'), ingested_at), "
+            "'assessment_type', try_variant_get(try_element_at(am, 'type'), '$', 'string'), "
             f"'scores', {scores}))")
 
 
-def b_scores() -> str:
-    """Numeric ``score_*`` entries of a flat payload (other types are dropped)."""
-    return ("transform(filter(map_entries(try_variant_get(v, '$', 'map<string,variant>')), "
+def b_scores(map_sql: str = "m") -> str:
+    """Numeric ``score_*`` entries of a flat payload's root map (other types are dropped)."""
+    return (f"transform(filter(map_entries({map_sql}), "
             f"e -> startswith(e.key, '{SCORE_PREFIX}') AND {is_numeric_sql('e.value')}), "
             "e -> " + _score(f"substr(e.key, {len(SCORE_PREFIX) + 1})", "try_variant_get(e.value, '$', 'double')") + ")")
 
@@ -95,10 +95,10 @@ def b_scores() -> str:
 def norm_b() -> str:
     """Flat key-value JSON: values already 0-100; date is the ingest time."""
     return ("array(named_struct("
-            "'patient_id', try_variant_get(v, '$.patient_id', 'string'), "
+            "'patient_id', try_variant_get(try_element_at(m, 'patient_id'), '$', 'string'), "
             "'assessment_date', ingested_at, "
-            "'assessment_type', try_variant_get(v, '$.assessment_type', 'string'), "
-            f"'scores', {b_scores()}))")
+            "'assessment_type', try_variant_get(try_element_at(m, 'assessment_type'), '$', 'string'), "
+            "'scores', bsc))")
 
 
 def c_group_keys() -> str:

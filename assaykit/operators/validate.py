@@ -6,16 +6,19 @@ boolean for the typed "deep" parse), built with ``array_compact(array(CASE
 are listed. Nothing here shuffles: each payload is validated where it lies.
 
 Expressions refer to these columns of the payload row:
-``raw`` (text), ``v`` (strict VARIANT parse of raw, JSON providers),
+``raw`` (text), ``v`` (strict VARIANT parse of raw, JSON providers), ``m``
+(the root object as ``map<string,variant>``, NULL when the root is not an
+object), ``pm`` / ``am`` / ``sm`` (provider A's patient, assessment and
+scores objects as maps), ``bsc`` (provider B's numeric scores),
 ``csv_header`` / ``csv_rows`` (parsed CSV, provider C), ``assessments``
-(normalized output), ``provider``.
+(normalized output), ``provider``. Each object is turned into a map once and
+every check reads from that map, instead of re-navigating the VARIANT per
+check.
 """
 
 from __future__ import annotations
 
-from assaykit.functions.jsonx import (
-    is_numeric_sql, is_object_sql, is_present_sql, is_string_sql, null_or_string_sql,
-)
+from assaykit.functions.jsonx import is_numeric_sql
 from assaykit.schemas import CSV_COLUMNS, TARGET_SCALE
 
 # ---------------------------------------------------------------------------
@@ -67,28 +70,44 @@ def _body_checks(structure: str) -> str:
             f"ELSE {structure} END")
 
 
+def _t(mp: str, key: str) -> str:
+    """Variant type name of ``mp[key]`` (NULL when absent)."""
+    return f"schema_of_variant(try_element_at({mp}, '{key}'))"
+
+
+def _is_str(mp: str, key: str) -> str:
+    return f"coalesce({_t(mp, key)} = 'STRING', false)"
+
+
+def _opt_str(mp: str, key: str) -> str:
+    """Absent, JSON null, or a string (an optional string field)."""
+    return f"coalesce({_t(mp, key)} IN ('STRING', 'VOID'), true)"
+
+
+def _present(mp: str, key: str) -> str:
+    return f"(try_element_at({mp}, '{key}') IS NOT NULL)"
+
+
 def pre_a() -> str:
-    pid_actual = "coalesce(to_json(try_variant_get(v, '$.patient.id', 'variant')), 'null')"
+    pid_actual = "coalesce(to_json(try_element_at(pm, 'id')), 'null')"
     pid = violation(_q(MSG_A_PATIENT_ID[0]), _q(MSG_A_PATIENT_ID[1]), pid_actual,
                     _q(MSG_A_PATIENT_ID[3]), raw_sql=True)
-    has_assessment = is_present_sql("v", "$.assessment")
+    has_assessment = _present("m", "assessment")
     structure = ("array_compact(array("
-                 f"CASE WHEN NOT {is_present_sql('v', '$.patient')} THEN {_fixed(MSG_A_PATIENT)} "
-                 f"WHEN NOT {is_string_sql('v', '$.patient.id')} THEN {pid} END, "
+                 f"CASE WHEN NOT {_present('m', 'patient')} THEN {_fixed(MSG_A_PATIENT)} "
+                 f"WHEN NOT {_is_str('pm', 'id')} THEN {pid} END, "
                  f"CASE WHEN NOT {has_assessment} THEN {_fixed(MSG_A_ASSESSMENT)} END, "
-                 f"CASE WHEN {has_assessment} AND NOT {is_string_sql('v', '$.assessment.type')} "
+                 f"CASE WHEN {has_assessment} AND NOT {_is_str('am', 'type')} "
                  f"THEN {_fixed(MSG_A_TYPE)} END, "
-                 f"CASE WHEN {has_assessment} AND NOT {is_object_sql('v', '$.assessment.scores')} "
-                 f"THEN {_fixed(MSG_A_SCORES)} END))")
+                 f"CASE WHEN {has_assessment} AND sm IS NULL THEN {_fixed(MSG_A_SCORES)} END))")
     return _body_checks(structure)
 
 
 def pre_b() -> str:
-    has_score_key = ("coalesce(exists(map_keys(try_variant_get(v, '$', 'map<string,variant>')), "
-                     "k -> startswith(k, 'score_')), false)")
+    has_score_key = "coalesce(exists(map_keys(m), k -> startswith(k, 'score_')), false)"
     structure = ("array_compact(array("
-                 f"CASE WHEN NOT {is_string_sql('v', '$.patient_id')} THEN {_fixed(MSG_B_PATIENT_ID)} END, "
-                 f"CASE WHEN NOT {is_string_sql('v', '$.assessment_type')} THEN {_fixed(MSG_B_TYPE)} END, "
+                 f"CASE WHEN NOT {_is_str('m', 'patient_id')} THEN {_fixed(MSG_B_PATIENT_ID)} END, "
+                 f"CASE WHEN NOT {_is_str('m', 'assessment_type')} THEN {_fixed(MSG_B_TYPE)} END, "
                  f"CASE WHEN NOT {has_score_key} THEN {_fixed(MSG_B_SCORES)} END))")
     return _body_checks(structure)
 
@@ -103,26 +122,23 @@ def pre_c() -> str:
 
 def deep_a() -> str:
     """Typed parse of provider A: every declared field has its declared type."""
-    date_t = "try_variant_get(v, '$.assessment.date', 'variant')"
-    date_ok = (f"(coalesce(schema_of_variant({date_t}) = 'VOID', true) OR "
-               f"(schema_of_variant({date_t}) = 'STRING' AND "
-               f"try_variant_get(v, '$.assessment.date', 'string') rlike {_q(RFC3339_RE)} AND "
-               f"try_variant_get(v, '$.assessment.date', 'timestamp') IS NOT NULL))")
-    scores_numeric = ("forall(map_values(try_variant_get(v, '$.assessment.scores', 'map<string,variant>')), "
-                      f"x -> {is_numeric_sql('x')})")
+    date = "try_element_at(am, 'date')"
+    date_ok = (f"(coalesce(schema_of_variant({date}) = 'VOID', true) OR "
+               f"(schema_of_variant({date}) = 'STRING' AND "
+               f"try_variant_get({date}, '$', 'string') rlike {_q(RFC3339_RE)} AND "
+               f"try_variant_get({date}, '$', 'timestamp') IS NOT NULL))")
+    scores_numeric = f"forall(map_values(sm), x -> {is_numeric_sql('x')})"
     return " AND ".join([
-        is_object_sql("v", "$.patient"), is_string_sql("v", "$.patient.id"),
-        null_or_string_sql("v", "$.patient.name"), null_or_string_sql("v", "$.patient.dob"),
-        is_object_sql("v", "$.assessment"), is_string_sql("v", "$.assessment.type"),
-        is_object_sql("v", "$.assessment.scores"), f"coalesce({scores_numeric}, false)",
-        null_or_string_sql("v", "$.assessment.notes"), date_ok,
+        "pm IS NOT NULL", _is_str("pm", "id"), _opt_str("pm", "name"), _opt_str("pm", "dob"),
+        "am IS NOT NULL", _is_str("am", "type"), "sm IS NOT NULL", f"coalesce({scores_numeric}, false)",
+        _opt_str("am", "notes"), date_ok,
     ])
 
 
 def deep_b() -> str:
     return " AND ".join([
-        is_object_sql("v", "$"), is_string_sql("v", "$.patient_id"), is_string_sql("v", "$.assessment_type"),
-        null_or_string_sql("v", "$.patient_name"), null_or_string_sql("v", "$.notes"),
+        "m IS NOT NULL", _is_str("m", "patient_id"), _is_str("m", "assessment_type"),
+        _opt_str("m", "patient_name"), _opt_str("m", "notes"),
     ])
 
 

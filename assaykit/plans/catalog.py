@@ -118,7 +118,7 @@ def scan_flat_kv(spark, sf):
     """Numeric ``score_*`` entries of flat payloads that pass pre-validation."""
     g = _gate(spark, sf).filter((F.col("provider") == "provider_b") & (F.col("stage") != "pre"))
     v = g.select("payload_id", F.expr(
-        f"{N.b_scores().replace('try_variant_get(v,', 'try_variant_get(try_parse_json(raw),')}").alias("s"))
+        N.b_scores("try_variant_get(try_parse_json(raw), '$', 'map<string,variant>')")).alias("s"))
     return v.select("payload_id", F.explode("s").alias("x")).select(
         "payload_id", F.col("x.dimension").alias("dimension"), _r(F.col("x.value")).alias("value"))
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from assaykit.functions import hashing, pii
-from assaykit.functions.jsonx import strict_parse_sql
+from assaykit.functions.jsonx import strict_from_wrappers_sql, strict_wrappers_sql
 from assaykit.operators import normalize as N
 from assaykit.operators import validate as V
 from assaykit.schemas import (
@@ -86,9 +86,25 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
         F.coalesce("received_at", F.current_timestamp()).alias("ingested_at"),
         known.alias("known"),
     )
-    # one strict parse per JSON payload, reused by every later stage
-    df = df.withColumn("v", F.expr(
-        f"CASE WHEN provider IN ('{PROVIDER_A}', '{PROVIDER_B}') THEN {strict_parse_sql('raw')} END"))
+    # one strict parse per JSON payload, reused by every later stage; the two
+    # wrapper parses are columns of their own so each runs once per row
+    w1, w2 = strict_wrappers_sql("raw")
+    is_json = f"provider IN ('{PROVIDER_A}', '{PROVIDER_B}')"
+    df = _with_each(df, {"_w1": F.expr(f"CASE WHEN {is_json} THEN {w1} END"),
+                         "_w2": F.expr(f"CASE WHEN {is_json} THEN {w2} END")})
+    df = df.withColumn("v", F.expr(strict_from_wrappers_sql("_w1", "_w2")))
+    # each JSON object becomes a map once; all checks read from these maps
+    df = df.withColumn("m", F.expr("try_variant_get(v, '$', 'map<string,variant>')"))
+    df = _with_each(df, {
+        "pm": F.expr(f"CASE WHEN provider = '{PROVIDER_A}' THEN "
+                     "try_variant_get(try_element_at(m, 'patient'), '$', 'map<string,variant>') END"),
+        "am": F.expr(f"CASE WHEN provider = '{PROVIDER_A}' THEN "
+                     "try_variant_get(try_element_at(m, 'assessment'), '$', 'map<string,variant>') END"),
+    })
+    df = _with_each(df, {
+        "sm": F.expr("try_variant_get(try_element_at(am, 'scores'), '$', 'map<string,variant>')"),
+        "bsc": F.expr(f"CASE WHEN provider = '{PROVIDER_B}' THEN {N.b_scores()} END"),
+    })
     for name, col in N.csv_columns().items():
         df = df.withColumn(name, col)
     df = df.withColumn("pre", F.expr(
@@ -97,7 +113,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
     df = _with_each(df, {
         "deep_ok": F.expr(_case_provider(
             {PROVIDER_A: V.deep_a(), PROVIDER_B: V.deep_b(), PROVIDER_C: V.deep_c()}, "false")),
-        "b_has_numeric": F.expr(f"CASE WHEN provider = '{PROVIDER_B}' THEN size({N.b_scores()}) > 0 ELSE true END"),
+        "b_has_numeric": F.expr(f"CASE WHEN provider = '{PROVIDER_B}' THEN coalesce(size(bsc) > 0, false) ELSE true END"),
         "csv_keys": F.expr(f"CASE WHEN provider = '{PROVIDER_C}' THEN {N.c_group_keys()} END"),
     })
     reached_norm = "known AND size(pre) = 0 AND deep_ok AND b_has_numeric"
