@@ -473,7 +473,7 @@ def _orders_outbox(spark, sf, only_status: str | None = None):
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("assessment_id"),
                     status.alias("status"), (F.col("o_orderkey") % 12).cast("int").alias("retries"),
                     F.col("o_orderdate").alias("created_at"),
-                    F.lit(None).cast("timestamp").alias("flushed_at"))
+                    F.lit(None).cast("timestamp_ntz").alias("flushed_at"))
 
 
 @query("agg_outbox_status")
@@ -588,7 +588,7 @@ def _delivery_results(spark, sf):
 def j_mark_flushed(spark, sf):
     ob = _orders_outbox(spark, sf)
     res = _delivery_results(spark, sf).filter(F.col("assessment_id") % 3 != 0)
-    as_of = F.lit("2001-09-01 00:00:00").cast("timestamp")
+    as_of = F.lit("2001-09-01 00:00:00").cast("timestamp_ntz")
     out = J.mark_flushed(ob, res, as_of)
     return out.select("id", "status", "flushed_at")
 
@@ -749,7 +749,7 @@ def st_outbox_state(spark, sf):
     """One sweep over the orders-derived outbox: flushed / retried / failed."""
     ob = _orders_outbox(spark, sf)
     res = O.delivery_results(_orders_fanout(spark, sf))
-    as_of = F.lit("2001-09-01 00:00:00").cast("timestamp")
+    as_of = F.lit("2001-09-01 00:00:00").cast("timestamp_ntz")
     out = O.apply_sweep_outcome(ob, res, as_of)
     return out.select("id", "status", "retries", "flushed_at")
 
@@ -932,7 +932,7 @@ def j_replay(spark, sf):
     from assaykit.plans.replay import mark_replayed, replay
     f = _replay_inputs(spark, sf)
     out, _ = replay(f, P.GateConfig(INTERNAL))
-    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     m = mark_replayed(f, out, as_of)
     return m.groupBy("provider", "replayed", F.col("replayed_at").isNotNull().alias("has_replayed_at")) \
         .agg(F.count("*").alias("n"))

@@ -9,7 +9,9 @@ from assaykit.sources.tables import DRIVER_TABLES
 SF = "/root/testdata/sf0.001"
 FAST = ["v_gate", "read_payloads", "explode_batch", "batch_outcome", "v_post", "norm_c", "flatten_scores",
         "agg_failed_backlog", "agg_histogram_quantile", "ts_error_ratio", "ts_alert_sustained",
-        "st_outbox_state", "q_stale_outbox", "pii_hmac", "j_insert_absent", "purge", "audit_row"]
+        "st_outbox_state", "q_stale_outbox", "pii_hmac", "j_insert_absent", "purge", "audit_row",
+        "j_mark_flushed", "agg_violations_by_boundary", "replay", "st_dedup_window", "stream_outbox",
+        "stream_errors", "st_sweep", "sink_envelopes"]
 
 
 def test_entry_runs(spark):
