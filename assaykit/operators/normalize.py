@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assaykit.functions.jsonx import is_numeric_sql
 from assaykit.functions.rescale import rescale
+from assaykit.functions.times import utc_ntz, utc_ntz_sql
 from assaykit.operators.validate import FLOAT_RE, _q as sql_str
 from assaykit.schemas import (
     PROVIDER_FORMATS, SCALE_PRESETS, SCHEMA_VERSION, SCORE_PREFIX, TARGET_SCALE,
@@ -74,13 +75,16 @@ def _score(dim: str, value: str) -> str:
     return f"named_struct('dimension', {dim}, 'value', {value}, 'scale', '{TARGET_SCALE}')"
 
 
+A_DATE = utc_ntz_sql("try_variant_get(try_element_at(am, 'date'), '$', 'timestamp')")
+
+
 def norm_a() -> str:
     """Nested JSON: scores x10 (0-10 -> 0-100, no clamp); date or ingest time."""
     scores = ("transform(map_entries(sm), e -> "
               + _score("e.key", "try_variant_get(e.value, '$', 'double') * 10.0D") + ")")
     return ("array(named_struct("
             "'patient_id', try_variant_get(try_element_at(pm, 'id'), '$', 'string'), "
-            "'assessment_date', coalesce(try_variant_get(try_element_at(am, 'date'), '$', 'timestamp'), ingested_at), "
+            f"'assessment_date', coalesce({A_DATE}, ingested_at), "
             "'assessment_type', try_variant_get(try_element_at(am, 'type'), '$', 'string'), "
             f"'scores', {scores}))")
 
@@ -116,7 +120,7 @@ def norm_c() -> str:
     scores = f"transform({members}, r -> {_score('r.metric_name', 'cast(r.metric_value_text AS double) * 10.0D')})"
     return (f"transform(csv_keys, k -> named_struct("
             "'patient_id', k.patient_id, "
-            "'assessment_date', try_to_timestamp(k.assessment_date, 'yyyy-M-d'), "
+            "'assessment_date', to_timestamp_ntz(k.assessment_date, 'yyyy-M-d'), "
             "'assessment_type', k.category, "
             f"'scores', {scores}))")
 
@@ -180,8 +184,8 @@ def norm_declarative(df: DataFrame, spec: ScoreSpec, raw_col: str = "raw",
         e["key"].alias("dimension"),
         rescale(F.try_variant_get(e["value"], "$", "double"), lo, hi).alias("value"),
         F.lit(TARGET_SCALE).alias("scale")))
-    date = (F.try_variant_get(v, spec.date_path, "timestamp") if spec.date_path
-            else F.lit(None).cast("timestamp"))
+    date = (utc_ntz(F.try_variant_get(v, spec.date_path, "timestamp")) if spec.date_path
+            else F.lit(None).cast("timestamp_ntz"))
     pid = F.try_variant_get(v, spec.patient_id_path, "string")
     atype = F.try_variant_get(v, spec.assessment_type_path, "string")
     a = F.struct(pid.alias("patient_id"), F.coalesce(date, F.col(ingested_col)).alias("assessment_date"),

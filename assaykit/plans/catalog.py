@@ -734,7 +734,7 @@ def ts_alert_sustained(spark, sf):
 @query("ts_gauge_snapshot")
 def ts_gauge_snapshot(spark, sf):
     """Outbox rows per status as of the end of each month (running totals per status)."""
-    ob = _orders_outbox(spark, sf).withColumn("month", F.date_trunc("month", "created_at"))
+    ob = _orders_outbox(spark, sf).withColumn("month", F.date_trunc("month", "created_at").cast("timestamp_ntz"))
     m = ob.groupBy("status", "month").agg(F.count("*").alias("created"))
     w = Window.partitionBy("status").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     return m.withColumn("cumulative", F.sum("created").over(w))
@@ -1000,7 +1000,7 @@ def st_sweep(spark, sf):
     store = _store(spark, "sweep")
     store.write_gate_batch(_gate(spark, sf), 0)
     as_of_row = store.read("outbox").agg(F.max("created_at").alias("m")).first()
-    as_of = F.lit(as_of_row["m"]) + F.expr("INTERVAL 1 DAYS")
+    as_of = F.lit(str(as_of_row["m"])).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAYS")
     sinks = J.active_sinks(J.sinks_frame(spark, SINKS))
     states = run_sweep(store, sinks, _sweep_deliver, as_of, batch_id=1)
     return states.select("assessment_id", "status", "retries", F.col("flushed_at").isNotNull().alias("flushed"))

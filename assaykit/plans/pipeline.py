@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from assaykit.functions import hashing, pii
+from assaykit.functions.times import now_utc, utc_ntz
 from assaykit.functions.jsonx import strict_from_wrappers_sql, strict_wrappers_sql
 from assaykit.operators import normalize as N
 from assaykit.operators import validate as V
@@ -32,6 +33,7 @@ from assaykit.schemas import (
 STAGE_OK = "ok"
 STAGES = ["provider", "pre", "deep", "normalize", "post", "output"]
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"   # NTZ values are UTC wall clock
 
 
 @dataclass(frozen=True)
@@ -81,9 +83,10 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
     """
     providers = config.providers
     known = F.col("provider").isin(providers) if providers else F.lit(False)
+    received = utc_ntz(F.col("received_at"), payloads.schema["received_at"].dataType)
     df = spread(payloads).select(
-        *carry, "payload_id", "provider", "raw", "received_at",
-        F.coalesce("received_at", F.current_timestamp()).alias("ingested_at"),
+        *carry, "payload_id", "provider", "raw", received.alias("received_at"),
+        F.coalesce(received, now_utc()).alias("ingested_at"),
         known.alias("known"),
     )
     # one strict parse per JSON payload, reused by every later stage; the two
@@ -270,7 +273,7 @@ def camel_json(assessments: DataFrame) -> F.Column:
         F.col("scores").alias("scores"),
         F.struct(F.col("source_provider").alias("sourceProvider"), F.col("source_format").alias("sourceFormat"),
                  F.col("ingested_at").alias("ingestedAt"), F.col("version").alias("version")).alias("metadata"))
-    return F.to_json(obj, {"timestampFormat": TS_FORMAT})
+    return F.to_json(obj, {"timestampFormat": TS_FORMAT, "timestampNTZFormat": TS_NTZ_FORMAT})
 
 
 def audit_payload(assessments: DataFrame) -> F.Column:
@@ -301,7 +304,7 @@ def outbox_rows(assessments: DataFrame) -> DataFrame:
         F.col("id").alias("assessment_id"),
         envelope_json(assessments).alias("payload"),
         F.lit(OUTBOX_PENDING).alias("status"), F.lit(0).alias("retries"),
-        "created_at", F.lit(None).cast("timestamp").alias("flushed_at"))
+        "created_at", F.lit(None).cast("timestamp_ntz").alias("flushed_at"))
 
 
 def failed_rows(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataFrame:
@@ -312,7 +315,7 @@ def failed_rows(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataFram
         hashing.uuid_from(F.lit("failed"), F.col("input_hash"), F.col("provider")).alias("id"),
         "provider", pii.raw_input_for_storage(F.col("raw"), policy).alias("raw_input"),
         "error_kind", detail.alias("error_detail"), "input_hash",
-        F.lit(False).alias("replayed"), F.lit(None).cast("timestamp").alias("replayed_at"),
+        F.lit(False).alias("replayed"), F.lit(None).cast("timestamp_ntz").alias("replayed_at"),
         F.col("ingested_at").alias("created_at"), "payload_id")
 
 
@@ -362,11 +365,13 @@ def rows_from_envelopes(messages: DataFrame, body: str = "body") -> DataFrame:
     a, au = "e.assessment", "e.audit"
     return e.select(
         F.col(f"{a}.id").alias("id"), F.col(f"{a}.patientId").alias("patient_id"),
-        F.col(f"{a}.assessmentDate").alias("assessment_date"), F.col(f"{a}.assessmentType").alias("assessment_type"),
+        utc_ntz(F.col(f"{a}.assessmentDate")).alias("assessment_date"),
+        F.col(f"{a}.assessmentType").alias("assessment_type"),
         F.col(f"{a}.scores").alias("scores"), F.col(f"{a}.metadata.sourceProvider").alias("source_provider"),
         F.col(f"{a}.metadata.sourceFormat").alias("source_format"),
-        F.col(f"{a}.metadata.ingestedAt").alias("ingested_at"), F.col(f"{a}.metadata.version").alias("version"),
-        F.col(f"{a}.metadata.ingestedAt").alias("created_at"),
+        utc_ntz(F.col(f"{a}.metadata.ingestedAt")).alias("ingested_at"),
+        F.col(f"{a}.metadata.version").alias("version"),
+        utc_ntz(F.col(f"{a}.metadata.ingestedAt")).alias("created_at"),
         F.col(f"{au}.input_hash").alias("input_hash"), F.col(f"{au}.input_size_bytes").alias("input_size_bytes"),
         F.col(f"{au}.score_count").alias("score_count"),
         F.to_json(F.col(f"{au}.transformations")).alias("transformations"))
