@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaykit.llm import bpe, chat, hostrules, pieces
+from assaykit.llm import bpe, chat, crf, hostrules, licenses, linejoin, pieces, simhash
 from assaykit.llm.common import read_table
 
 
@@ -19,6 +19,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns.unionByName(odd)))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.language_report(read_table(spark, sf_dir, "documents"))
+
+
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,9 +35,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that is not blank, with its class among all lines and its number of links to different lines."""
+    return linejoin.classed(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.code_digests(pieces.encode_decode(read_table(spark, sf_dir, "documents"),
                                                     public_tokenizers.path("piece_bpe_32k.model")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_token_counts, op5_quality_rules, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op2_language_id, op3_license_scans, op4_token_counts, op5_quality_rules, op8_line_dedup,
+    op9_simhash, op10_sentencepiece)}
