@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaykit.llm import bpe, chat, crf, hostrules, licenses, linejoin, pieces, simhash
+from assaykit.llm import bpe, chat, crf, hostrules, latent, licenses, linejoin, maxent, pieces, simhash
 from assaykit.llm.common import read_table
 
 
@@ -35,6 +35,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_report(read_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified matches (doc_id, item_id and the measures) of all documents with all benchmark items."""
+    return latent.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank, with its class among all lines and its number of links to different lines."""
     return linejoin.classed(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,5 +59,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op2_language_id, op3_license_scans, op4_token_counts, op5_quality_rules, op8_line_dedup,
-    op9_simhash, op10_sentencepiece)}
+    op1_chat_formatting, op2_language_id, op3_license_scans, op4_token_counts, op5_quality_rules, op6_lm_scoring,
+    op7_decontamination, op8_line_dedup, op9_simhash, op10_sentencepiece)}
