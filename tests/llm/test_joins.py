@@ -159,7 +159,7 @@ def test_simhash_equals_brute_force(make_docs, odd_rows):
     want = {}
     for (i, t), f in zip(rows, prints):
         key = (i is not None, i or 0)
-        want[root[f]] = min(want.get(root[f], (key, t)), (key, t or ""))
+        want[root[f]] = min(want.get(root[f], (key, t or "")), (key, t or ""))
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(k[1] if k[0] else None for k, _ in want.values())
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
