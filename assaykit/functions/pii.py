@@ -15,6 +15,7 @@ from pyspark.sql import Column, functions as F
 from assaykit.schemas import HMAC_PREFIX, REDACTED
 
 _BLOCK = 64
+MIN_SALT_CHARS = 32
 
 
 def _pads(salt: str) -> tuple[str, str]:
@@ -66,6 +67,10 @@ class PiiPolicy:
                 raise ValueError(f"unknown scrub strategy: {s}")
         if not self.allow_internal_pii and (self.store_patient_id_plaintext or self.store_raw_for_replay):
             raise ValueError("internal plaintext storage requires allow_internal_pii")
+        if not self.enabled:
+            raise ValueError("scrubbing cannot be switched off")
+        if "hash" in (self.patient_id_strategy, self.raw_input_strategy) and len(self.hash_salt) < MIN_SALT_CHARS:
+            raise ValueError(f"the hash strategy needs a salt of at least {MIN_SALT_CHARS} characters")
 
     @property
     def stores_patient_plaintext(self) -> bool:

@@ -2,13 +2,19 @@
 
 Layout under ``root`` (a shared folder, e.g. under ``spark.checkpoint.dir``)::
 
-    <table>/batch_id=<n>/part-*.parquet     rows written by batch n
-    _commits/batch_id=<n>/part-*.parquet    commit marker, written last
+    <table>/writer=<w>/batch_id=<n>/part-*.parquet     rows written by batch n of writer w
+    _commits/writer=<w>/batch_id=<n>/part-*.parquet    commit marker, written last
+    _schemas/<table>                                   the table's schema as JSON
 
 Readers only see batches with a commit marker, so the rows a batch writes to
-several tables appear together or not at all. Re-running a batch id
+several tables appear together or not at all. Re-running a batch
 overwrites that batch's folders (dynamic partition overwrite), which makes a
-retried ``foreachBatch`` call idempotent.
+retried ``foreachBatch`` call idempotent. Batches belong to a named writer, so
+jobs that share a store (normalizer, consumers, sweep) never meet on a batch id.
+A new checkpoint counts from 0 again and so needs a new writer name.
+
+Tables are read with the schema kept at their first write, so a table whose
+batches are all empty reads as empty.
 
 Inserts follow ``ON CONFLICT DO NOTHING``: first row per key inside the batch
 (map-side ``min_by``), then rows whose key is already stored are dropped. The
@@ -23,9 +29,11 @@ state of a row is its latest event, so nothing is rewritten in place.
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from assaykit.operators.aggregates import first_wins
 from assaykit.plans import pipeline as P
@@ -39,35 +47,53 @@ TABLES = {
     "schema_violations": ["boundary", "provider", "input_hash"],
 }
 COMMITS = "_commits"
-PART = "batch_id"
+SCHEMAS = "_schemas"
+WRITER, PART = "writer", "batch_id"
+PART_TYPES = "writer string, batch_id long"
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, writer: str = "main"):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._committed: list[int] | None = None
+        self.writer = writer
+
+    def as_writer(self, writer: str) -> TableStore:
+        """The same store, written under another writer's name."""
+        return TableStore(self.spark, self.root, writer)
 
     # -- reading -----------------------------------------------------------
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
-    def committed(self) -> list[int]:
-        """Committed batch ids (one row per batch, so a small list)."""
-        if self._committed is None:
-            p = self.path(COMMITS)
-            if not _exists(self.spark, p):
-                return []
-            self._committed = sorted(r[PART] for r in self.spark.read.parquet(p).select(PART).distinct().collect())
-        return self._committed
+    def commits(self) -> DataFrame | None:
+        """(writer, batch_id) of every committed batch."""
+        p = self.path(COMMITS)
+        if not _exists(self.spark, p):
+            return None
+        return self.spark.read.schema(PART_TYPES).parquet(p)
+
+    def _stored(self, table: str) -> DataFrame | None:
+        """All rows of a table, committed or not, with their writer and batch_id."""
+        kept = self.path(f"{SCHEMAS}/{table}")
+        if not _exists(self.spark, kept):
+            return None
+        schema = StructType.fromJson(json.loads(self.spark.read.text(kept, wholetext=True).first()[0]))
+        schema = schema.add(WRITER, "string").add(PART, "long")
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
     def read(self, table: str, exclude_batch: int | None = None) -> DataFrame | None:
-        ids = [i for i in self.committed() if i != exclude_batch]
-        p = self.path(table)
-        if not ids or not _exists(self.spark, p):
+        """Committed rows; ``exclude_batch`` leaves out one batch of this store's own writer."""
+        commits, rows = self.commits(), self._stored(table)
+        if commits is None or rows is None:
             return None
-        df = self.spark.read.parquet(p)
-        return df.filter(F.col(PART).isin(ids)).drop(PART)
+        if exclude_batch is not None:
+            commits = commits.filter(~((F.col(WRITER) == self.writer) & (F.col(PART) == exclude_batch)))
+        return rows.join(commits, [WRITER, PART], "left_semi").drop(WRITER, PART)
+
+    def own_batch(self, table: str, batch_id: int) -> DataFrame:
+        """The rows that this writer's batch has put into a table (visible before the commit)."""
+        return self._stored(table).filter((F.col(WRITER) == self.writer) & (F.col(PART) == batch_id)).drop(WRITER, PART)
 
     # -- writing -----------------------------------------------------------
     def _insert_absent(self, table: str, rows: DataFrame, order: list[str], batch_id: int) -> DataFrame:
@@ -83,15 +109,18 @@ class TableStore:
         return batch.join(hits, keys, "left_anti")
 
     def _write(self, table: str, df: DataFrame, batch_id: int) -> None:
-        (df.withColumn(PART, F.lit(batch_id))
+        kept = self.path(f"{SCHEMAS}/{table}")
+        if not _exists(self.spark, kept):
+            self.spark.range(1).select(F.lit(df.schema.json())).write.mode("overwrite").text(kept)
+        self._write_part(table, df, batch_id)
+
+    def _write_part(self, table: str, df: DataFrame, batch_id: int) -> None:
+        (df.withColumns({WRITER: F.lit(self.writer), PART: F.lit(batch_id)})
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(PART).parquet(self.path(table)))
+         .partitionBy(WRITER, PART).parquet(self.path(table)))
 
     def _commit(self, batch_id: int) -> None:
-        marker = self.spark.range(1).select(F.lit(batch_id).alias(PART), F.current_timestamp().alias("committed_at"))
-        marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART) \
-            .parquet(self.path(COMMITS))
-        self._committed = None
+        self._write_part(COMMITS, self.spark.range(1).select(F.current_timestamp().alias("committed_at")), batch_id)
 
     def write_gate_batch(self, gate: DataFrame, batch_id: int,
                          policy: pii.PiiPolicy = pii.STRICT) -> None:
@@ -107,7 +136,7 @@ class TableStore:
             a_rows = self._insert_absent("assessments", a.select(*[c for c in P_ASSESSMENT_COLS]), ["created_at"],
                                          batch_id)
             self._write("assessments", a_rows, batch_id)
-            stored_a = self.spark.read.parquet(self.path("assessments")).filter(F.col(PART) == batch_id)
+            stored_a = self.own_batch("assessments", batch_id)
             kept = a.join(stored_a.select("id"), "id", "left_semi")
             self._write("normalization_audit_log",
                         self._insert_absent("normalization_audit_log", P.audit_rows(kept), ["created_at"], batch_id),
@@ -124,23 +153,31 @@ class TableStore:
         finally:
             gate.unpersist()
 
-    def write_envelope_batch(self, rows: DataFrame, batch_id: int) -> None:
-        """Persist assessments + audit + outbox from envelope rows (all or nothing)."""
+    def write_envelope_batch(self, rows: DataFrame, batch_id: int, others: dict[str, DataFrame] | None = None) -> None:
+        """Persist assessments + audit + outbox from envelope rows, and rows of plain tables, under one commit."""
         rows = rows.persist()
         try:
             a_rows = self._insert_absent("assessments", rows.select(*P_ASSESSMENT_COLS), ["created_at"], batch_id)
             self._write("assessments", a_rows, batch_id)
-            stored_a = self.spark.read.parquet(self.path("assessments")).filter(F.col(PART) == batch_id)
+            stored_a = self.own_batch("assessments", batch_id)
             kept = rows.join(stored_a.select("id"), "id", "left_semi")
             self._write("normalization_audit_log",
                         self._insert_absent("normalization_audit_log", P.audit_rows(kept), ["created_at"], batch_id),
                         batch_id)
             self._write("outbox", self._insert_absent("outbox", P.outbox_rows(kept), ["created_at"], batch_id),
                         batch_id)
+            for table, more in (others or {}).items():
+                self._write(table, more, batch_id)
             self._commit(batch_id)
         finally:
             rows.unpersist()
 
+    def write_error_batch(self, failed: DataFrame, violations: DataFrame, batch_id: int) -> None:
+        """Persist failed records and violations under one commit, first write wins."""
+        for table, rows in (("failed_records", failed), ("schema_violations", violations)):
+            self._write(table, self._insert_absent(table, rows, ["created_at", "id"], batch_id), batch_id)
+        self._commit(batch_id)
+
     def write_table_batch(self, table: str, rows: DataFrame, batch_id: int) -> None:
         """Append a batch to a plain (unkeyed) table, e.g. a quarantine."""
         self._write(table, rows, batch_id)
