@@ -264,7 +264,8 @@ def test_lcs_counts():
 
 
 def test_pipeline_equals_its_steps(spark, make_docs, tmp_path):
-    good = [(k, f"{PROSE.format(k)}\n{PROSE.format(k + 1000)} extra tail {k}", "en", f"s{k % 3}") for k in range(30)]
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    good = [(k, f"{PROSE.format(k)}\n{own(k)} extra tail {k}", "en", f"s{k % 3}") for k in range(30)]
     item = "a benchmark question about copper kettles asks which hidden valve opens first when pressure falls below nine bars"
     rows = good + [(50, good[3][1], "en", "s1"), (51, "too short", "en", "s1"), (52, f"{PROSE.format(77)} {item}", "en", "s2"),
                    (53, None, None, None), (54, "", "en", "s2"), (55, "again and " * 200, "en", "s2"), (56, good[4][1].replace("extra", "Extra"), "en", "s1")]
