@@ -114,7 +114,7 @@ class Scanner:
         starts = sorted({(k, int(places[h]) - p) for h in hits for k, p in self.index[int(prints[h])]})
         found, before = [], None
         for k, start in starts:
-            if before and before[0] == k and start - before[1] <= BAND // 2:
+            if before and before[0] == k and start - before[1] <= band_of(self.words[k]) // 2:
                 continue                            # the band of the start before covers this one
             before = (k, start)
             matched, first, last = aligned(self.words[k], words, start)
@@ -136,17 +136,23 @@ class Scanner:
                 for k, matched, first, last in kept]
 
 
+def band_of(template: list[bytes]) -> int:
+    """Narrower for short templates, so that neighbouring copies are told apart."""
+    return min(BAND, max(1, len(template) // 4))
+
+
 def aligned(template: list[bytes], words: list[bytes], start: int) -> tuple[int, int, int]:
     """Most template words matched in order within the band around ``start``; first and last word place matched.
 
     Row i of the table covers the text words start + i - BAND to start + i + BAND; a cell holds
     (matches, -width) so that of equal counts the narrowest span wins.
     """
-    n, width = len(words), 2 * BAND + 1
+    band = band_of(template)
+    n, width = len(words), 2 * band + 1
     none = (0, 0, -1, -1)                            # matches, first - last, first, last
     row = [none] * (width + 1)
     for i, t in enumerate(template):
-        low, left, now = start + i - BAND, none, []
+        low, left, now = start + i - band, none, []
         for d in range(width):
             j = low + d
             best = max(left, row[d + 1])
