@@ -170,3 +170,21 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     ordering = F.struct(*[F.col(c) for c in order])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), ordering).alias("_w"))
     return picked.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in rest])
+
+
+def batch_summary(gate: DataFrame) -> DataFrame:
+    """Per submission: items, successes, errors, assessments and the status 200 / 207 / 400.
+
+    ``gate`` carries ``submission_id``, ``item_index`` and ``batch_ok`` from ``explode_batch``: a
+    submission without items has one row with a null index, and a body that
+    is not an array of items (``batch_ok`` false) is a 400.
+    """
+    item, ok = F.col("item_index").isNotNull(), F.col("stage") == "ok"
+    agg = gate.groupBy("submission_id").agg(
+        F.count("item_index").alias("n_items"), F.count_if(item & ok).alias("n_succeeded"),
+        F.count_if(item & ~ok).alias("n_failed"),
+        F.sum(F.when(item & ok, F.size("assessments")).otherwise(0)).alias("n_assessments"),
+        F.bool_and("batch_ok").alias("_ok"))
+    status = (F.when(~F.col("_ok"), 400).when(F.col("n_failed") == 0, 200)
+              .when(F.col("n_assessments") == 0, 400).otherwise(207))
+    return agg.withColumn("status", status).drop("_ok")

@@ -44,8 +44,9 @@ def _events(spark, sf):
     return table(spark, sf, "events")
 
 
-def _gate(spark, sf, policy=STRICT, enabled=()):
-    return P.run_gate(synth.mixed_payloads(_events(spark, sf)), P.GateConfig(policy, tuple(enabled)))
+def _gate(spark, sf, policy=STRICT, enabled=(), provider=None):
+    only = F.col("provider") == provider if provider else None
+    return P.run_gate(synth.mixed_payloads(_events(spark, sf)), P.GateConfig(policy, tuple(enabled)), only=only)
 
 
 def _size0(c: str):
@@ -91,21 +92,14 @@ def q_explode_batch(spark, sf):
 def batch_outcome(spark, sf):
     """Per submission: items, successes, errors, assessments and 200/207/400."""
     items = explode_batch(synth.batch_submissions(_events(spark, sf)))
-    g = P.run_gate(items, P.GateConfig(STRICT), carry=("submission_id",))
-    ok = F.col("stage") == P.STAGE_OK
-    agg = g.groupBy("submission_id").agg(
-        F.count("*").alias("n_items"), F.count_if(ok).alias("n_succeeded"),
-        F.count_if(~ok).alias("n_failed"),
-        F.sum(F.when(ok, F.size("assessments")).otherwise(0)).alias("n_assessments"))
-    status = (F.when(F.col("n_failed") == 0, 200).when(F.col("n_assessments") == 0, 400).otherwise(207))
-    return agg.withColumn("status", status)
+    return A.batch_summary(P.run_gate(items, P.GateConfig(STRICT), carry=("submission_id", "item_index", "batch_ok")))
 
 
 @query("scan_nested_json")
 def scan_nested_json(spark, sf):
     """Typed provider-A fields of every payload that passes the typed parse."""
-    g = _gate(spark, sf, policy=INTERNAL).filter(
-        (F.col("provider") == "provider_a") & F.col("stage").isin("normalize", "post", "output", P.STAGE_OK))
+    g = _gate(spark, sf, policy=INTERNAL, provider="provider_a").filter(
+        F.col("stage").isin("normalize", "post", "output", P.STAGE_OK))
     a = F.col("assessments")[0]
     return g.select("payload_id", a["patient_id"].alias("patient_id"),
                     a["assessment_type"].alias("assessment_type"),
@@ -116,7 +110,7 @@ def scan_nested_json(spark, sf):
 @query("scan_flat_kv")
 def scan_flat_kv(spark, sf):
     """Numeric ``score_*`` entries of flat payloads that pass pre-validation."""
-    g = _gate(spark, sf).filter((F.col("provider") == "provider_b") & (F.col("stage") != "pre"))
+    g = _gate(spark, sf, provider="provider_b").filter(F.col("stage") != "pre")
     v = g.select("payload_id", F.expr(
         N.b_scores("try_variant_get(try_parse_json(raw), '$', 'map<string,variant>')")).alias("s"))
     return v.select("payload_id", F.explode("s").alias("x")).select(
@@ -136,7 +130,7 @@ def scan_csv(spark, sf):
 
 
 def _pre_violations(spark, sf, provider):
-    g = _gate(spark, sf).filter((F.col("provider") == provider) & (F.col("stage") == "pre"))
+    g = _gate(spark, sf, provider=provider).filter(F.col("stage") == "pre")
     return g.select("payload_id", F.posexplode("pre_violations").alias("violation_index", "x")).select(
         "payload_id", "violation_index", F.col("x.field").alias("field"), F.col("x.expected").alias("expected"),
         F.col("x.actual").alias("actual"), F.col("x.message").alias("message"))
@@ -197,9 +191,7 @@ def violation_to_error(spark, sf):
 # ---------------------------------------------------------------------------
 
 def _flat_scores(spark, sf, provider=None, policy=STRICT):
-    a = P.assessment_rows(_gate(spark, sf, policy))
-    if provider:
-        a = a.filter(F.col("source_provider") == provider)
+    a = P.assessment_rows(_gate(spark, sf, policy, provider=provider))
     return a.select("id", "payload_id", "patient_id", "assessment_type", "assessment_date", "source_provider",
                     F.posexplode("scores").alias("score_index", "s"))
 
@@ -272,7 +264,7 @@ def stamp_metadata(spark, sf):
 @query("default_date")
 def default_date(spark, sf):
     """Provider A dates: the payload's own, or the ingest time when absent."""
-    a = P.assessment_rows(_gate(spark, sf)).filter(F.col("source_provider") == "provider_a")
+    a = P.assessment_rows(_gate(spark, sf, provider="provider_a"))
     return a.select("payload_id", "assessment_date", (F.col("assessment_date") == F.col("ingested_at"))
                     .alias("same_as_ingest"))
 
@@ -434,12 +426,15 @@ def _failures_by_time(g):
 
     ``boundary`` is NULL for failures without violations. Every consumer
     reads this one aggregate (its exchange is reused), so the gate runs once
-    even though ``as_of`` is derived from the same rows.
+    even though ``as_of`` is derived from the same rows. The one-element
+    generator keeps readers that need fewer columns from pruning the aggregate
+    into a different one, which would run the gate again.
     """
     boundary = F.when(F.col("stage") == "pre", "pre_transform").when(F.col("stage") == "post", "post_transform")
-    return (g.filter(F.col("stage") != P.STAGE_OK)
-            .groupBy(F.col("ingested_at").alias("created_at"), boundary.alias("boundary"), "provider")
-            .agg(F.count("*").alias("n_failed"), F.count(boundary).alias("n")))
+    agg = (g.filter(F.col("stage") != P.STAGE_OK)
+           .groupBy(F.col("ingested_at").alias("created_at"), boundary.alias("boundary"), "provider")
+           .agg(F.count("*").alias("n_failed"), F.count(boundary).alias("n")))
+    return agg.select(F.inline(F.array(F.struct(*agg.columns))))
 
 
 def _recent(by_time, hours=1):
@@ -713,9 +708,11 @@ def _metric_samples(spark, sf):
     e = _latency(spark, sf)
     ratio = TS.error_ratio(e, "ts", _is_error()).select(
         F.lit("error_ratio_5m").alias("metric"), "window_start", F.col("error_ratio").alias("value"))
+    slow = TS.error_ratio(e, "ts", _is_error(), length="15 minutes").select(
+        F.lit("error_ratio_15m").alias("metric"), "window_start", F.col("error_ratio").alias("value"))
     lat = TS.latency_quantiles(e, "ts", F.col("latency_s"), BUCKETS_HTTP_SECONDS, qs=(0.99,)).select(
         F.lit("latency_p99_5m").alias("metric"), "window_start", F.col("p99").alias("value"))
-    return ratio.unionByName(lat)
+    return ratio.unionByName(slow).unionByName(lat)
 
 
 @query("ts_alert_threshold")
@@ -816,8 +813,8 @@ def st_triage_envelope(spark, sf):
     a = P.assessment_rows(_gate(spark, sf))
     env = a.select(F.concat(F.lit("env-"), F.col("id")).alias("msg_id"), P.envelope_json(a).alias("body"))
     legacy = a.select(F.concat(F.lit("leg-"), F.col("id")).alias("msg_id"), P.camel_json(a).alias("body"))
-    poison = synth.provider_b_payloads(_events(spark, sf)).filter(F.col("payload_id").endswith("0")) \
-        .select(F.concat(F.lit("poi-"), F.col("payload_id")).alias("msg_id"), F.concat(F.lit("x"), F.col("raw")).alias("body"))
+    poison = synth.provider_b_payloads(_events(spark, sf)).select(
+        F.concat(F.lit("poi-"), F.col("payload_id")).alias("msg_id"), F.concat(F.lit("x"), F.col("raw")).alias("body"))
     t = O.triage(env.unionByName(legacy).unionByName(poison))
     return t.select("msg_id", "kind", "assessment_id")
 
@@ -830,8 +827,7 @@ def st_disposition(spark, sf):
     db_ok = F.col("event_id") % 7 != 0
     sink_ok = F.col("event_id") % 4 != 0
     attempt = (F.col("event_id") % 6 + 1).cast("int")
-    msg = F.when(F.col("event_id") % 14 == 0, F.lit("connection reset by peer")).otherwise(F.lit("duplicate key"))
-    d = O.disposition(kind, db_ok, sink_ok, attempt, msg)
+    d = O.disposition(kind, db_ok, sink_ok, attempt)
     return e.select("event_id", kind.alias("kind"), d["action"].alias("action"), d["retry_after_secs"].alias("retry_after_secs"))
 
 

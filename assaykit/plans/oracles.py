@@ -595,11 +595,22 @@ samples AS (
   SELECT 'error_ratio_5m' AS metric, {_bucket(300)} AS window_start,
          count(*) FILTER (WHERE event_type = 'error') / count(*){D} AS value
   FROM events GROUP BY ALL
+  UNION ALL SELECT 'error_ratio_15m', {_bucket(900)},
+         count(*) FILTER (WHERE event_type = 'error') / count(*){D}
+  FROM events GROUP BY ALL
   UNION ALL SELECT 'latency_p99_5m', window_start, v FROM p99),
-rules(rule, metric, threshold, for_seconds) AS (VALUES ('HighErrorRate', 'error_ratio_5m', 0.05{D}, 120),
-                                                    ('HighLatency', 'latency_p99_5m', 1.0{D}, 300)),
-ev AS (SELECT rule, window_start, value, coalesce(value > threshold, false) AS firing, for_seconds
-       FROM samples JOIN rules USING (metric))"""
+rules(rule, metric, threshold, for_seconds) AS (VALUES
+  ('HighErrorRate', 'error_ratio_5m', 0.05{D}, 120), ('ElevatedErrorRate', 'error_ratio_15m', 0.01{D}, 900),
+  ('HighLatency', 'latency_p99_5m', 1.0{D}, 300), ('HighFailureRate', 'failure_ratio_5m', 0.1{D}, 300),
+  ('FailedRecordsPending', 'failed_records_pending', 10.0{D}, 600),
+  ('FailedRecordsCritical', 'failed_records_pending', 50.0{D}, 300),
+  ('SchemaViolations', 'schema_violations_recent', 5.0{D}, 600),
+  ('ConsumerLag', 'consumer_pending', 100.0{D}, 300), ('ConsumerLagCritical', 'consumer_pending', 1000.0{D}, 120),
+  ('OutboxBacklogGrowing', 'outbox_pending', 100.0{D}, 300),
+  ('OutboxBacklogCritical', 'outbox_pending', 1000.0{D}, 120)),
+ev AS (SELECT rule, window_start, value, for_seconds,
+              CASE WHEN s.metric IS NOT NULL THEN coalesce(value > threshold, false) END AS firing
+       FROM rules r LEFT JOIN samples s ON r.metric = s.metric)"""
 
 _o("ts_alert_threshold", f"""WITH {_SAMPLES}
 SELECT rule, window_start, round(value, 6) AS value, firing FROM ev""")
@@ -612,9 +623,9 @@ i AS (SELECT *, sum(brk) OVER (PARTITION BY rule ORDER BY window_start ROWS UNBO
 s AS (SELECT rule, island, any_value(for_seconds) AS for_seconds, min(window_start) AS island_start,
              max(window_start) AS island_last, count(*) AS samples FROM i GROUP BY rule, island)
 SELECT rule, island_start, island_last, samples,
-       CAST(epoch(island_last) - epoch(island_start) AS BIGINT) + 300 AS duration_seconds,
+       CAST(epoch(island_last) - epoch(island_start) AS BIGINT) AS duration_seconds,
        island_start + to_seconds(for_seconds) AS active_from
-FROM s WHERE CAST(epoch(island_last) - epoch(island_start) AS BIGINT) + 300 >= for_seconds""")
+FROM s WHERE CAST(epoch(island_last) - epoch(island_start) AS BIGINT) >= for_seconds""")
 
 _o("ts_gauge_snapshot", f"""WITH {OB},
 m AS (SELECT status, date_trunc('month', created_at) AS month, count(*) AS created FROM ob GROUP BY ALL)
@@ -665,15 +676,14 @@ _o("st_expire", """SELECT count(*) FILTER (WHERE ts >= (SELECT max(ts) FROM even
 _o("st_triage_envelope", f"""WITH {SCORES}
 SELECT 'env-' || assessment_id AS msg_id, 'envelope' AS kind, assessment_id FROM asm
 UNION ALL SELECT 'leg-' || assessment_id, 'legacy', assessment_id FROM asm
-UNION ALL SELECT 'poi-' || payload_id, 'poison', NULL FROM pb WHERE event_id % 10 = 0""")
+UNION ALL SELECT 'poi-' || payload_id, 'poison', NULL FROM pb""")
 
 _o("st_disposition", """WITH x AS (
   SELECT event_id,
     CASE WHEN event_id % 10 = 0 THEN 'poison' WHEN event_id % 3 = 0 THEN 'legacy' ELSE 'envelope' END AS kind,
-    event_id % 7 <> 0 AS db_ok, event_id % 4 <> 0 AS sink_ok, event_id % 6 + 1 >= 5 AS over,
-    event_id % 14 = 0 AS transient FROM events),
+    event_id % 7 <> 0 AS db_ok, event_id % 4 <> 0 AS sink_ok, event_id % 6 + 1 >= 5 AS over FROM events),
 y AS (SELECT *, CASE WHEN kind = 'poison' THEN 'quarantined'
-    WHEN NOT db_ok AND (over OR NOT transient) THEN 'quarantined'
+    WHEN NOT db_ok AND over THEN 'quarantined'
     WHEN NOT db_ok THEN 'retry'
     WHEN kind = 'legacy' AND NOT sink_ok AND over THEN 'quarantined'
     WHEN kind = 'legacy' AND NOT sink_ok THEN 'retry' ELSE 'accepted' END AS action FROM x)

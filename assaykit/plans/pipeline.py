@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assaykit.functions import hashing, pii
 from assaykit.functions.times import now_utc, utc_ntz
@@ -75,14 +75,20 @@ def _case_provider(arms: dict[str, str], default: str = "NULL") -> str:
     return f"CASE provider {body} ELSE {default} END"
 
 
-def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
+def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tuple[str, ...] = (),
+             only: Column | None = None) -> DataFrame:
     """Run every stage for every payload; see the module docstring.
 
+    ``only`` is a condition on the payload columns; it is applied before the
+    first parse, because filters on the result cannot pass the barrier below.
+
     ``carry`` names extra input columns passed through unchanged (e.g. the
     submission a batch item belongs to), so callers need no join back.
     """
     providers = config.providers
-    known = F.col("provider").isin(providers) if providers else F.lit(False)
+    known = F.coalesce(F.col("provider").isin(providers), F.lit(False)) if providers else F.lit(False)
+    if only is not None:
+        payloads = payloads.filter(only)
     received = utc_ntz(F.col("received_at"), payloads.schema["received_at"].dataType)
     df = spread(payloads).select(
         *carry, "payload_id", "provider", "raw", received.alias("received_at"),
@@ -187,7 +193,7 @@ def _classify(df: DataFrame) -> DataFrame:
             f"WHEN 'post' THEN {V.violations_to_errors('post')} "
             f"WHEN 'output' THEN out_errors END"),
     }).withColumn("error_message", F.expr(
-        "CASE stage WHEN 'provider' THEN concat('unknown provider: ', provider) "
+        "CASE stage WHEN 'provider' THEN concat('unknown provider: ', coalesce(provider, '')) "
         "WHEN 'deep' THEN CASE WHEN deep_ok THEN 'validation failed' "
         "ELSE 'parse error: payload does not match the provider schema' END "
         f"WHEN 'normalize' THEN {N.norm_c_error()} "
@@ -245,13 +251,17 @@ def _scrub(df: DataFrame, policy: pii.PiiPolicy) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def assessment_rows(gate: DataFrame) -> DataFrame:
-    """One row per unified assessment of a successful payload."""
+    """One row per unified assessment of a successful payload.
+
+    The outer generator adds no ``size(assessments) > 0`` filter, which would
+    compute the scrubbed array (its HMACs) again for every payload.
+    """
     ok = gate.filter(F.col("stage") == STAGE_OK)
     rows = ok.select(
         "payload_id", "provider", "source_format", "ingested_at", "input_hash", "input_size_bytes",
         "score_count", "transformations",
-        F.posexplode("assessments").alias("assessment_index", "a"))
-    return rows.select(
+        F.posexplode_outer("assessments").alias("assessment_index", "a"))
+    return rows.filter(F.col("assessment_index").isNotNull()).select(
         hashing.uuid_from(F.col("payload_id"), F.col("assessment_index")).alias("id"),
         F.col("a.patient_id").alias("patient_id"),
         F.col("a.assessment_date").alias("assessment_date"),
