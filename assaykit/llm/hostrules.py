@@ -117,7 +117,11 @@ def quality_report(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns as they were (a text-free pass counts the domains first)."""
+    """The rows of ``docs`` that pass, with their columns as they were (a text-free pass counts the domains first).
+
+    The row travels as one struct, so columns of it named like a measure keep their own values.
+    """
     measures = measured(docs.select("text", "source")).drop("text")
     hosts = written(host_verdicts(measures, max_rate=max_rate), "host-verdicts")
-    return judged(measured(docs), hosts).filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text", "source")
+    return judged(measured(whole), hosts).filter("kept").select("_doc.*")

@@ -152,6 +152,11 @@ def test_a_bad_host_is_rejected_and_rates_are_shrunk(make_docs):
     assert hosts["new"]["rate_short"] < 1 < hosts["new"]["n_docs"] + 1 and not hosts["bad"]["host_kept"]
     left = hostrules.keep_good(docs)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {k for k, v in kept.items() if v}
+    named = docs.withColumn("n_words", F.lit("mine")).withColumn("base_failed", F.lit("own"))
+    again = hostrules.keep_good(named)
+    assert again.columns == named.columns
+    assert {(r["doc_id"], r["n_words"], r["base_failed"]) for r in again.collect()} == {
+        (r["doc_id"], "mine", "own") for r in left.collect()}
 
 
 def test_quality_plan_has_no_python(make_docs):
