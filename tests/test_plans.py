@@ -34,6 +34,22 @@ def test_stale_outbox_is_top_k_with_pushed_filter(spark):
     assert "EqualTo(o_orderstatus,O)" in plan
 
 
+def test_one_provider_is_filtered_before_the_gate(spark):
+    plan = _plan(QUERIES["norm_c"](spark, SF))
+    assert plan.count("FileScan parquet") == 1          # the union branches of the other providers are gone
+
+
+def test_scrub_is_not_repeated_by_the_explode(spark):
+    plan = QUERIES["norm_b"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "(size(transform(" not in plan
+
+
+def test_audit_verdict_gates_once(spark):
+    df = QUERIES["audit_verdict"](spark, SF)
+    df.collect()
+    assert "ReusedExchange" in _plan(df)
+
+
 def test_first_wins_combines_map_side(spark):
     plan = _plan(QUERIES["agg_first_wins"](spark, SF))
     assert plan.count("HashAggregate") + plan.count("ObjectHashAggregate") + plan.count("SortAggregate") >= 2
