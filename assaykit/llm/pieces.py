@@ -12,7 +12,8 @@ once; a difference raises an error, so no unchecked code is ever returned.
 
 Null texts are coded as empty (no ids). Repeated rows, null ids and extra
 columns change nothing: rows are coded one by one. Memory is bounded by one
-Arrow batch, the vocabulary and ``CACHE_ENTRIES`` remembered segments.
+Arrow batch, the vocabulary and ``CACHE_ENTRIES`` remembered segments, which a
+task forgets at its end, so that an idle worker holds the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import functools
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +31,35 @@ from pyspark.sql import DataFrame, functions as F
 MARK = "▁"
 LETTER, STOP = "[A-Za-z\u00c0-\u024f\u0370-\u04ff]", "[.,;:!?]"
 #: Segments a Python worker remembers; the store is emptied between batches when full.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Rows of one output batch, so that ids of long texts do not pile up.
 OUT_ROWS = 256
 
 
 class Known(dict):
-    """(ids, text) by segment, filled on demand; ``fresh`` lists the segments added since it was last emptied."""
+    """Ids by segment (32-bit, as bytes), filled on demand.
+
+    ``fresh`` lists the segments added since it was last emptied, ``other`` the decoded
+    texts of those segments whose ids do not decode to the segment itself.
+    """
 
     def __init__(self, coder: PieceCoder):
         super().__init__()
-        self.coder, self.fresh = coder, []
+        self.coder, self.fresh, self.other = coder, [], {}
 
-    def __missing__(self, segment: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, segment: str) -> bytes:
         ids = self.coder.encode_segment(segment)
-        self[segment] = pair = (ids, self.coder.decode(ids, False))
+        decoded = self.coder.decode(ids, False)
+        if decoded != segment.replace(MARK, " "):
+            self.other[segment] = decoded
+        self[segment] = packed = np.array(ids, np.int32).tobytes()
         self.fresh.append(segment)
-        return pair
+        return packed
+
+    def forget(self) -> None:
+        self.clear()
+        self.other.clear()
+        self.fresh = []
 
 
 class PieceCoder:
@@ -104,19 +116,27 @@ class PieceCoder:
                 ids += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
         return tuple(ids)
 
-    def coded(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """(ids, text) of each segment of each text; the new segments are compared with the library in one call."""
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        get = self.known.__getitem__
-        found = [list(map(get, self.segments(t))) for t in texts]
-        fresh, self.known.fresh = self.known.fresh, []
+    def coded(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as 32-bit bytes, decoded text) of each text; new segments are compared with the library in one call."""
+        known = self.known
+        if len(known) >= CACHE_ENTRIES:
+            known.forget()
+        get, other, found = known.__getitem__, known.other, []
+        for text in texts:
+            parts = self.segments(text)
+            ids = b"".join(map(get, parts))
+            # segments end with whole characters, so their texts join to that of all ids
+            if other and not other.keys().isdisjoint(parts):
+                text = "".join([other.get(p, p) for p in parts])[1:]
+            found.append((ids, text.replace(MARK, " ")))
+        fresh, known.fresh = known.fresh, []
         # The library puts a word mark in front: it stands for the segment's own first mark, or else
         # a line feed keeps it apart (both then lead the ids as two pieces).
         theirs = self.library.encode([s[1:] if s[0] == MARK and len(s) > 1 else "\n" + s for s in fresh])
         for s, b in zip(fresh, theirs, strict=True):
-            if list(get(s)[0]) != (b if s[0] == MARK and len(s) > 1 else b[2:]):
-                raise RuntimeError(f"agenda and library differ on segment {s!r}: {get(s)[0]} and {b}")
+            mine = np.frombuffer(get(s), np.int32).tolist()
+            if mine != (b if s[0] == MARK and len(s) > 1 else b[2:]):
+                raise RuntimeError(f"agenda and library differ on segment {s!r}: {mine} and {b}")
         return found
 
     def decode(self, ids, at_start: bool = True) -> str:
@@ -154,18 +174,18 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(model.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                piece = batch.slice(at, OUT_ROWS)
-                found = coder.coded(piece.column(1).to_pylist())
-                ids = [np.fromiter(chain.from_iterable([x[0] for x in f]), np.int32) for f in found]
-                # segments end with whole characters, so their texts join to that of all ids
-                decoded = ["".join([x[1] for x in f])[1:] for f in found]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
-                     pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, OUT_ROWS):
+                    piece = batch.slice(at, OUT_ROWS)
+                    found = coder.coded(piece.column(1).to_pylist())
+                    ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)], dtype=np.int32)
+                    flat = np.frombuffer(b"".join([ids for ids, _ in found]), np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
+                         pa.array([text for _, text in found], pa.string())], ["doc_id", "ids", "decoded"])
+        finally:
+            coder.known.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -60,10 +61,12 @@ def test_pieces_equal_library(make_docs, odd_rows):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     coder = pieces.PieceCoder(open(MODEL, "rb").read())
     texts = random_texts(4000)
-    for text, found in zip(texts, coder.coded(texts)):
-        ids = [i for s in found for i in s[0]]
+    for text, (packed, decoded) in zip(texts, coder.coded(texts), strict=True):
+        ids = np.frombuffer(packed, np.int32).tolist()
         assert ids == library.encode(text)
-        assert coder.decode(ids) == library.decode(ids) == "".join(s[1] for s in found)[1:]
+        assert coder.decode(ids) == library.decode(ids) == decoded
+    coder.known.forget()
+    assert not coder.known and not coder.known.other and not coder.known.fresh
     coded = pieces.encode_decode(make_docs(odd_rows), MODEL)
     want = Counter()
     for i, t in odd_rows:
