@@ -134,7 +134,7 @@ def scrub_fields_sql(raw_sql: str, rules: list[tuple[str, str]], salt: str) -> s
     inner = _rule_case("k2", "v2", rules, salt)
     nested = (f"coalesce(to_variant_object(transform_values(try_variant_get(v, '$', 'map<string,variant>'), "
               f"(k2, v2) -> {inner})), v)")
-    outer = _rule_case("k", nested, rules, salt).replace("THEN parse_json", "THEN parse_json", 1)
+    outer = _rule_case("k", nested, rules, salt)
     m = f"try_variant_get(try_parse_json({raw_sql}), '$', 'map<string,variant>')"
     return f"CASE WHEN {m} IS NULL THEN {raw_sql} ELSE to_json(transform_values({m}, (k, v) -> {outer})) END"
 

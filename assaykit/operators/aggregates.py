@@ -1,8 +1,9 @@
 """Audit and metric aggregates.
 
-All of them are hash aggregates with a partial (map-side) phase, so a hot
-label value is pre-combined in every task before the shuffle and never lands
-whole on one reducer.
+All of them have a partial (map-side) phase, so a hot label value is
+pre-combined in every task before the shuffle and never lands whole on one
+reducer. Counts and histograms are hash aggregates; ``first_wins`` carries whole
+rows and is planned as a sort aggregate.
 """
 
 from __future__ import annotations
