@@ -219,6 +219,28 @@ def test_leaks_are_found_and_clean_documents_left(spark, make_docs):
     assert latent.leaks(make_docs([]), bench).count() == 0 and latent.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_items_leaked_into_many_documents_are_found(spark, make_docs):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, filler(n)) for k, n in enumerate((16, 22, 60, 4))]
+    # item 0 in a third, item 1 in all documents, item 2 in a half, item 3 (shorter than a gram) once
+    rows = [(k, " ".join([filler(40), items[1][1], filler(40)] + [items[0][1], filler(20)] * (k % 3 == 0)
+                         + [items[2][1]] * (k % 2) + [items[3][1], filler(30)] * (k == 7))) for k in range(120)]
+    want = {(k, 0) for k in range(0, 120, 3)} | {(k, 1) for k in range(120)} | {(k, 2) for k in range(1, 120, 2)} | {(7, 3)}
+    docs, bench = make_docs(rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in latent.leaks(docs, bench).collect()} == want
+    assert latent.without_leaks(docs, bench).count() == 0
+
+
+def test_copies_are_found_whatever_the_cosine(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(latent, "MIN_COSINE", 0.999)
+    items, rows, want = leak_rows()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in latent.leaks(make_docs(rows), bench).collect()}
+    assert {w for w in want if w[0] is None or w[0] % 8 == 4 or w[0] == 503} <= found
+
+
 def test_latent_candidates_against_brute_force(spark, make_docs):
     items, rows, _ = leak_rows()
     docs = make_docs(rows)
