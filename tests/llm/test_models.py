@@ -104,6 +104,32 @@ def test_every_template_is_found_whole():
         assert name in [m[0] for m in scanner.scan(f"before {text} after") if m[1] == m[2]]
 
 
+def test_neighbouring_licenses_are_told_apart():
+    scan = lambda text: {m[0] for m in licenses.Scanner().scan(f"Some words. {text} And more of them.")}
+    header = licenses.TEMPLATES["GPL header"]
+    for text, want in {
+        licenses.TEMPLATES["GPL-3.0 notice"].replace("3", "2"): {"GPL-2.0 notice"},
+        licenses.TEMPLATES["GPL-3.0 notice"].replace("version 3", "version 9"): set(),
+        header.replace("GNU", "GNU Lesser"): set(), header.replace("GNU", "GNU Affero"): set(),
+        f"{header}, either version 2.1 of the License, or any later version.".replace("GNU", "GNU Lesser"): {"LGPL-2.1 header"},
+        f"{header}, either version 3 of the License, or any later version.".replace("GNU", "GNU Affero"): {"AGPL-3.0 header"},
+        "Licensed under the Apache License, Version 1.1.": set(), "Released under the ISC License.": set(),
+        licenses.TEMPLATES["Apache-2.0 header"].replace("2.0", "3.0"): set(),
+        "Licensed under CC BY 4.0.": {"CC-BY-4.0 short notice"}, "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0 short notice"},
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0 long notice"},
+        licenses.TEMPLATES["MIT permission"].replace("deal in", "deal with"): {"NCSA permission"},
+        licenses.TEMPLATES["MPL-2.0 notice"].replace("2.0", "1.1"): set(),
+        licenses.TEMPLATES["ISC permission"].split(", provided")[0]: {"0BSD permission"},
+        licenses.TEMPLATES["EPL-1.0 notice"].replace("v1.0", "2.0"): {"EPL-2.0 notice"},
+        licenses.TEMPLATES["BSD conditions"].replace("binary forms", "object forms"): set()}.items():
+        assert scan(text) == want, text
+    for name, text in licenses.TEMPLATES.items():           # the best template alone, with the whole license as its span
+        assert scan(text) == {name}, name
+    for part, name in (("MIT", "MIT warranty"), ("BSD-3-Clause", "BSD warranty")):      # a later part alone
+        words = licenses.TEMPLATES[part].split()
+        assert name in scan(" ".join(words[-len(licenses.TEMPLATES[name].split()):]))
+
+
 def test_shared_words_share_a_fingerprint():
     rng = np.random.default_rng(1)
     for _ in range(200):
