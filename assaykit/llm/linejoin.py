@@ -181,13 +181,16 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(key, id, own, n): rows whose key holds two different lines, at least one by its own segment; n: rows of the key."""
+    """(key, id, own, n): lines whose key holds two different lines, at least one by its own segment; n: rows of the key.
+
+    A line that holds a key both as its own segment and by a probe is one row, its own.
+    """
     key = Window.partitionBy("key")
     line, own = F.col("id").bitwiseAND(-2), F.col("id").bitwiseAND(1)
     return (rows.withColumns({"least": F.min(line).over(key), "most": F.max(line).over(key),
                               "any": F.max(own).over(key), "n": F.count("*").over(key)})
             .filter("least != most AND any = 1")
-            .select("key", line.alias("id"), (own == 1).alias("own"), "n").distinct())
+            .groupBy("key", line.alias("id"), "n").agg((F.max(own) == 1).alias("own")).select("key", "id", "own", "n"))
 
 
 def _links(found: DataFrame, edits: int, min_chars: int) -> DataFrame:

@@ -101,6 +101,11 @@ def test_line_classes_equal_brute_force(make_docs, monkeypatch):
     assert linejoin.classed(make_docs([])).count() == 0
 
 
+def test_line_with_a_repeating_middle_counts_a_link_once(make_docs):
+    got = linejoin.classed(make_docs([(1, "x" + "-" * 29), (2, "-" * 30), (3, "-" * 29 + "y")])).collect()
+    assert [r["n_links"] for r in got] == [2, 2, 2] and len({r["class_id"] for r in got}) == 1
+
+
 def kept_lines(rows):
     """Brute force of the stage: a line goes when its class stands before in order of (doc_id, line)."""
     strip, order = linejoin.SPACES, lambda i: (i is not None, i or 0)
