@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assaykit.llm import bpe, chat, crf, hostrules, latent, licenses, linejoin, maxent, pieces, simhash
+from assaykit.llm import (
+    bpe, chat, crf, divergence, hostrules, latent, licenses, linejoin, lzprint, maxent, pieces, repair, simhash)
 from assaykit.llm.common import read_table
 
 
@@ -58,6 +59,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprint_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.run_report(read_table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_language_id, op3_license_scans, op4_token_counts, op5_quality_rules, op6_lm_scoring,
-    op7_decontamination, op8_line_dedup, op9_simhash, op10_sentencepiece)}
+    op7_decontamination, op8_line_dedup, op9_simhash, op10_sentencepiece, op11_lz_fingerprints, op12_source_divergence,
+    op13_periodic_runs)}
