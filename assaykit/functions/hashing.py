@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 
@@ -25,6 +27,12 @@ def uuid_from(*parts: Column) -> Column:
                        h.substr(17, 4), h.substr(21, 12))
 
 
+def uuid_text(*parts: object) -> str:
+    """:func:`uuid_from` of known values, without a Spark job."""
+    h = hashlib.sha256("#".join(str(p) for p in parts if p is not None).encode()).hexdigest()
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
+
+
 def uuid_sql(expr: str) -> str:
     """DuckDB/Spark-portable SQL form of :func:`uuid_from` for one part."""
     h = f"sha256({expr})"

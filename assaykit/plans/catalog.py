@@ -7,6 +7,7 @@ same names as in :mod:`assaykit.plans.oracles`.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -549,16 +550,16 @@ def j_insert_absent(spark, sf):
 
 @query("j_assessment_audit")
 def j_assessment_audit(spark, sf):
-    a = P.assessment_rows(_gate(spark, sf))
-    au = P.audit_rows(a)
+    store = _stored(spark, sf)
+    a, au = store.read("assessments"), store.read("normalization_audit_log")
     return a.select(F.col("id").alias("assessment_id"), F.size("scores").alias("n_scores")).join(
         au.select("assessment_id", "provider", "score_count"), "assessment_id")
 
 
 @query("j_assessment_outbox")
 def j_assessment_outbox(spark, sf):
-    a = P.assessment_rows(_gate(spark, sf))
-    ob = P.outbox_rows(a).select("assessment_id", "status", "retries")
+    store = _stored(spark, sf)
+    a, ob = store.read("assessments"), store.outbox_current().select("assessment_id", "status", "retries")
     return a.select(F.col("id").alias("assessment_id"), "source_provider").join(ob, "assessment_id", "left")
 
 
@@ -615,38 +616,42 @@ def j_fanout(spark, sf):
 
 @query("q_audit_logs")
 def q_audit_logs(spark, sf):
-    au = P.audit_rows(P.assessment_rows(_gate(spark, sf)))
-    return reads.audit_logs(au, provider="provider_b").select("id", "assessment_id", "created_at")
+    au = _stored(spark, sf).read("normalization_audit_log", provider="provider_b")
+    return reads.audit_logs(au).select("id", "assessment_id", "created_at")
 
 
 @query("q_violations")
 def q_violations(spark, sf):
-    v = P.violation_rows(_gate(spark, sf))
-    return reads.violations_view(v, boundary="post_transform").select("id", "provider", "input_hash", "created_at")
+    v = _stored(spark, sf).read("schema_violations", boundary="post_transform")
+    return reads.violations_view(v).select("id", "provider", "input_hash", "created_at")
 
 
 @query("q_failed")
 def q_failed(spark, sf):
-    f = P.failed_rows(_gate(spark, sf))
-    return reads.failed_view(f, provider="provider_c", error_kind="parse").select(
-        "id", "input_hash", "error_kind", "created_at")
+    f = _stored(spark, sf).read("failed_records", provider="provider_c", error_kind="parse")
+    return reads.failed_view(f).select("id", "input_hash", "error_kind", "created_at")
+
+
+@query("q_newest_failed")
+def q_newest_failed(spark, sf):
+    """The 50 newest failures of one kind, from the newest files only."""
+    return _stored(spark, sf).newest("failed_records", 50, error_kind="parse").select("id", "provider", "created_at")
 
 
 @query("q_assessment_by_id")
 def q_assessment_by_id(spark, sf):
-    a = P.assessment_rows(_gate(spark, sf))
-    target = spark.range(1).select(hashing.uuid_from(F.lit("b-1"), F.lit(0)).alias("t")).first()["t"]
-    return reads.by_id(a, target).select("id", "assessment_type", F.size("scores").alias("n_scores"))
+    a = _stored(spark, sf).read("assessments", id=hashing.uuid_text("b-1", 0))
+    return a.select("id", "assessment_type", F.size("scores").alias("n_scores"))
 
 
 @query("q_failed_by_id")
 def q_failed_by_id(spark, sf):
-    f = P.failed_rows(_gate(spark, sf))
     e = _events(spark, sf)
-    first_bad = e.filter(F.col("event_id") % 23 == 0).agg(F.min("event_id").alias("m"))
-    key = (synth.provider_a_payloads(e).join(first_bad, F.col("payload_id") == F.concat(F.lit("a-"), F.col("m").cast("string")))
-           .select(hashing.uuid_from(F.lit("failed"), hashing.input_hash(F.col("raw")), F.col("provider")).alias("id")))
-    return f.join(key, "id", "left_semi").select("id", "provider", "error_kind")
+    first_bad = e.filter(F.col("event_id") % 23 == 0).agg(F.min("event_id").alias("event_id"))
+    raw = synth.provider_a_payloads(e.join(first_bad, "event_id", "left_semi"))
+    key = raw.select(hashing.uuid_from(F.lit("failed"), hashing.input_hash(F.col("raw")), F.col("provider"))).first()
+    f = _stored(spark, sf).read("failed_records", id=key[0] if key else "")
+    return f.select("id", "provider", "error_kind")
 
 
 @query("q_stale_outbox")
@@ -844,6 +849,21 @@ def purge(spark, sf):
     return purge_report(o, {"lineitem": li}, as_of, days=90)
 
 
+@query("purge_store")
+def purge_store(spark, sf):
+    """A stored month purged to its last ten days: rows removed and kept of all tables, and what an older reader still sees."""
+    from assaykit.plans.retention import purge_store
+    store = _store(spark, "purge-store")
+    e = _events(spark, sf)
+    store.write_gate_batch(_gate(spark, sf), 0)
+    before = store.version()
+    last = e.agg(F.max("ts")).first()[0]
+    report = purge_store(store, last, 1, days=10)
+    held = [store.read(t, before).agg(F.count("*").alias("held_before")).withColumn("table_name", F.lit(t)) for t in (
+        "assessments", "normalization_audit_log", "outbox", "failed_records", "schema_violations")]
+    return report.join(functools.reduce(DataFrame.unionByName, held), "table_name")
+
+
 # ---------------------------------------------------------------------------
 # Sinks, store, replay, streams (these write to the shared checkpoint folder)
 # ---------------------------------------------------------------------------
@@ -854,6 +874,20 @@ def _store(spark, name):
     return TableStore(spark, scratch_dir(spark, name))
 
 
+_STORED: dict[tuple[str, str], object] = {}
+
+
+def _stored(spark, sf):
+    """All payloads of the events persisted once a session; read queries share it and nothing changes it."""
+    key = spark.sparkContext.applicationId, sf
+    store = _STORED.get(key)
+    if store is None or store.version() is None:
+        store = _store(spark, "stored")
+        store.write_gate_batch(_gate(spark, sf), 0)
+        _STORED[key] = store
+    return store
+
+
 @query("sink_envelopes")
 def sink_envelopes(spark, sf):
     """Persist the gate twice under one batch id (a retry) and once more as a
@@ -886,6 +920,24 @@ def sink_errors(spark, sf):
         v.withColumn("table_name", F.lit("schema_violations")))
 
 
+@query("sink_batches")
+def sink_batches(spark, sf):
+    """Eight batches of events, each with a third of the batch before it sent again: every key is stored once."""
+    store = _store(spark, "sink-batches")
+    e = _events(spark, sf)
+    turn = F.pmod(F.col("event_id"), F.lit(8))
+    again = F.col("event_id") % 3 == 0
+    for n in range(8):
+        part = e.filter((turn == n) | ((turn == (n + 7) % 8) & again))
+        store.write_gate_batch(P.run_gate(synth.provider_a_payloads(part).unionByName(synth.provider_b_payloads(part)),
+                                          P.GateConfig(STRICT)), n)
+    out = [store.read(t).groupBy(F.col(c).alias("provider")).agg(F.count("*").alias("n"), F.countDistinct(*k).alias("n_keys"))
+           .withColumn("table_name", F.lit(t)) for t, c, k in (
+               ("assessments", "source_provider", ["id"]), ("normalization_audit_log", "provider", ["assessment_id"]),
+               ("failed_records", "provider", ["input_hash"]), ("schema_violations", "provider", ["boundary", "input_hash"]))]
+    return functools.reduce(DataFrame.unionByName, out).select("table_name", "provider", "n", "n_keys")
+
+
 @query("sink_dead_letter")
 def sink_dead_letter(spark, sf):
     """Deliveries that still fail after the last attempt are set aside and counted."""
@@ -923,6 +975,31 @@ def q_replay(spark, sf):
     return out.join(ids, "id").select("payload_id", "provider", "outcome", "n_assessments")
 
 
+@query("replay_store")
+def replay_store(spark, sf):
+    """Stored failures of a first run without provider C replayed twice: what each replay says, and what is stored then."""
+    from assaykit.plans.replay import replay_store
+    store = _store(spark, "replay-store")
+    store.write_gate_batch(P.run_gate(synth.mixed_payloads(_events(spark, sf)),
+                                      P.GateConfig(INTERNAL, ("provider_a", "provider_b"))), 0, INTERNAL)
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = []
+    for turn in (1, 2):
+        o = replay_store(store, P.GateConfig(INTERNAL), as_of, turn)
+        out.append(o.groupBy("provider", F.col("outcome").alias("state")).agg(
+            F.count("*").alias("n"), F.sum("n_assessments").alias("n_assessments")).withColumn("step", F.lit(f"replay {turn}")))
+    f = store.read("failed_records")
+    out.append(f.groupBy("provider", F.when(F.col("replayed"), "replayed").otherwise("open").alias("state")).agg(
+        F.count("*").alias("n"), F.lit(None).cast("long").alias("n_assessments")).withColumn("step", F.lit("failed_records")))
+    a, au = store.read("assessments"), store.read("normalization_audit_log").select("assessment_id")
+    ob = store.read("outbox").select("assessment_id", "status")
+    whole = a.join(au, a["id"] == au["assessment_id"]).drop("assessment_id")
+    whole = whole.join(ob, whole["id"] == ob["assessment_id"])
+    out.append(whole.groupBy(F.col("source_provider").alias("provider"), F.col("status").alias("state")).agg(
+        F.count("*").alias("n"), F.count("*").alias("n_assessments")).withColumn("step", F.lit("stored")))
+    return functools.reduce(DataFrame.unionByName, out).select("step", "provider", "state", "n", "n_assessments")
+
+
 @query("j_replay")
 def j_replay(spark, sf):
     from assaykit.plans.replay import mark_replayed, replay

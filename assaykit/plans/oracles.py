@@ -345,8 +345,7 @@ _o("build_envelope", f"""WITH {SCORES}
 SELECT assessment_id, input_hash, CAST(payload_scores AS INTEGER) AS score_count, provider,
        'pending' AS status, 0 AS retries FROM asx""")
 
-_FAILED = f"""{GATE},
-f AS (SELECT {uuid("'failed#' || input_hash || '#' || provider")} AS id, provider, error_kind, input_hash,
+_F = f"""f AS (SELECT {uuid("'failed#' || input_hash || '#' || provider")} AS id, provider, error_kind, input_hash,
              false AS replayed, received_at AS created_at, payload_id, stage, n_pre, n_post
       FROM gk WHERE stage <> 'ok'),
 vr AS (SELECT {uuid("'violation#' || CASE WHEN stage = 'pre' THEN 'pre_transform' ELSE 'post_transform' END || '#' || provider || '#' || input_hash")} AS id,
@@ -354,6 +353,7 @@ vr AS (SELECT {uuid("'violation#' || CASE WHEN stage = 'pre' THEN 'pre_transform
               provider, input_hash, CASE WHEN stage = 'pre' THEN n_pre ELSE n_post END AS n_violations,
               created_at, payload_id
        FROM f WHERE stage IN ('pre', 'post'))"""
+_FAILED = f"{GATE},\n{_F}"
 
 _o("api_view_failed", f"""WITH {_FAILED}
 SELECT id, provider, error_kind, input_hash, replayed FROM f""")
@@ -776,3 +776,40 @@ SELECT payload_id, provider, 'unknown provider: ' || provider AS error_message F
 ORACLES["q_provider_enabled"] = ORACLES["j_enabled"]
 ORACLES["sink_fanout"] = ORACLES["j_fanout"]
 ORACLES["agg_purge_report"] = ORACLES["purge"]
+
+# what the store holds of the failures: one per input and provider, the first
+_H = f"""{_F},
+held AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY provider, input_hash ORDER BY created_at, id) = 1),
+vheld AS (SELECT * FROM vr QUALIFY row_number() OVER (PARTITION BY boundary, provider, input_hash ORDER BY created_at, id) = 1)"""
+
+_o("q_newest_failed", f"""WITH {GATE}, {_H}
+SELECT id, provider, created_at FROM held WHERE error_kind = 'parse' ORDER BY created_at DESC, id LIMIT 50""")
+
+_o("sink_batches", f"""WITH {SCORES}, {_H},
+t AS (
+  SELECT 'assessments' AS table_name, provider, count(*) AS n FROM asm GROUP BY provider
+  UNION ALL SELECT 'normalization_audit_log', provider, count(*) FROM asm GROUP BY provider
+  UNION ALL SELECT 'failed_records', provider, count(*) FROM held GROUP BY provider
+  UNION ALL SELECT 'schema_violations', provider, count(*) FROM vheld GROUP BY provider)
+SELECT table_name, provider, n, n AS n_keys FROM t WHERE provider <> 'provider_c'""")
+
+_o("replay_store", f"""WITH {SCORES},
+held AS (
+  SELECT provider, stage, n_assessments FROM gk WHERE stage <> 'ok' OR provider = 'provider_c'
+  QUALIFY row_number() OVER (PARTITION BY provider, input_hash ORDER BY received_at, payload_id) = 1),
+o AS (SELECT provider, stage = 'ok' AS ok, CASE WHEN stage = 'ok' THEN n_assessments ELSE 0 END AS n FROM held)
+SELECT 'replay 1' AS step, provider, CASE WHEN ok THEN 'replayed' ELSE 'error' END AS state, count(*) AS n,
+  CAST(sum(n) AS BIGINT) AS n_assessments FROM o GROUP BY ALL
+UNION ALL SELECT 'replay 2', provider, CASE WHEN ok THEN 'already_replayed' ELSE 'error' END, count(*), 0 FROM o GROUP BY ALL
+UNION ALL SELECT 'failed_records', provider, CASE WHEN ok THEN 'replayed' ELSE 'open' END, count(*), NULL FROM o GROUP BY ALL
+UNION ALL SELECT 'stored', provider, 'pending', count(*), count(*) FROM asm WHERE provider <> 'provider_c' GROUP BY ALL
+UNION ALL SELECT 'stored', provider, 'pending', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) FROM o WHERE ok GROUP BY ALL""")
+
+_o("purge_store", f"""WITH {SCORES}, {_H},
+t AS (
+  SELECT unnest(['assessments', 'normalization_audit_log', 'outbox']) AS table_name, ingested_at AS created_at FROM asm
+  UNION ALL SELECT 'failed_records', created_at FROM held
+  UNION ALL SELECT 'schema_violations', created_at FROM vheld),
+c AS (SELECT max(ts) - INTERVAL 10 DAY AS cutoff FROM events)
+SELECT table_name, count(*) FILTER (created_at < cutoff) AS removed, count(*) FILTER (created_at >= cutoff) AS kept,
+  count(*) AS held_before FROM t, c GROUP BY table_name""")

@@ -1,55 +1,91 @@
-"""Idempotent Parquet table store with all-or-nothing batches.
+"""Idempotent Parquet table store: all-or-nothing batches, versions, updates by row.
 
 Layout under ``root`` (a shared folder, e.g. under ``spark.checkpoint.dir``)::
 
-    <table>/writer=<w>/batch_id=<n>/part-*.parquet     rows written by batch n of writer w
-    _commits/writer=<w>/batch_id=<n>/part-*.parquet    commit marker, written last
-    _schemas/<table>                                   the table's schema as JSON
-
-Readers only see batches with a commit marker, so the rows a batch writes to
-several tables appear together or not at all. Re-running a batch
-overwrites that batch's folders (dynamic partition overwrite), which makes a
-retried ``foreachBatch`` call idempotent. Batches belong to a named writer, so
-jobs that share a store (normalizer, consumers, sweep) never meet on a batch id.
-A new checkpoint counts from 0 again and so needs a new writer name.
-
-Tables are read with the schema kept at their first write, so a table whose
-batches are all empty reads as empty.
-
-Inserts follow ``ON CONFLICT DO NOTHING``: first row per key inside the batch
-(map-side ``min_by``), then rows whose key is already stored are dropped. The
-stored keys that collide are found by semi-joining the stored key column
-(column-pruned scan) with the batch keys; AQE broadcasts the batch side from
-its measured runtime size when it is under the threshold and keeps a
-shuffle join otherwise, so nothing unbounded is ever broadcast.
-
-Outbox state changes are appended as events (``outbox_state``); the current
-state of a row is its latest event, so nothing is rewritten in place.
+    <table>/writer=<w>/batch_id=<n>/run=<r>/[_day=<d>/]part-*.parquet    rows that batch n of writer w added
+    _erased/<table>/writer=<w>/batch_id=<n>/run=<r>/part-*.parquet       (path, row) of rows that a batch replaced
+    _log/writer=<w>/batch_id=<n>/part-*.parquet                          one file: what the batch did, written last
+    _schemas/<table>                                                     the table's schema as JSON
+
+Files are never changed. A batch becomes visible by its log file, which lists the files
+it added with what they may hold (:mod:`assaykit.plans.fileindex`), the files it took
+away, and the files of replaced rows. A version of a table is the files that the log up to
+a moment leaves; readers that hold a version keep it, whatever later batches, replays or
+purges do, until :meth:`TableStore.vacuum` clears the folders that no newer version uses. A
+batch that is already in the log is skipped, so a retried ``foreachBatch`` call changes
+nothing; what a failed attempt left behind is in no log and so never seen. Batches belong
+to a named writer, so jobs that share a store (normalizer, consumers, sweep, purge) never
+meet on a batch id. A new checkpoint counts from 0 again and so needs a new writer name.
+
+Inserts follow ``ON CONFLICT DO NOTHING``: the first row per key inside the batch, then
+rows whose key is already stored are dropped. Null key parts equal each other. The stored
+files are asked by their key filters first, so a micro-batch opens only the files that may
+hold one of its keys; batches of more than ``fileindex.LOOKUP_HASHES`` keys are joined
+with the key columns of all files. Two writers that insert one key at the same moment both
+keep it: give the inserts of a table to one job at a time.
+
+Rows are laid out by day, provider and key, so that a file covers few days and providers
+where there are many rows; reads by time, provider, kind or id open only the files that may
+hold such rows, and Parquet's own statistics do the rest.
+
+Outbox state changes are appended as events (``outbox_state``); the current state of a row
+is its latest event.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import os
+import time
+import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from assaykit.functions import pii
 from assaykit.operators.aggregates import first_wins
+from assaykit.plans import fileindex as X
 from assaykit.plans import pipeline as P
-from assaykit.functions import pii
 
+#: Key of each table, the columns that reads filter by, and the time its rows expire by.
 TABLES = {
-    "assessments": "id",
-    "normalization_audit_log": "assessment_id",
-    "outbox": "assessment_id",
+    "assessments": ["id"],
+    "normalization_audit_log": ["assessment_id"],
+    "outbox": ["assessment_id"],
     "failed_records": ["input_hash", "provider"],
     "schema_violations": ["boundary", "provider", "input_hash"],
 }
-COMMITS = "_commits"
-SCHEMAS = "_schemas"
+FACETS = {
+    "assessments": ["source_provider"],
+    "normalization_audit_log": ["provider"],
+    "failed_records": ["provider", "error_kind", "replayed"],
+    "schema_violations": ["provider", "boundary"],
+}
+#: Columns whose hashes the files of a table are asked for.
+LOOKUP = TABLES | {"outbox_state": ["assessment_id"]}
+TIME, ID = "created_at", "id"
+#: Rows of one file at most; bounds what summaries and filters of a file hold in a task.
+FILE_ROWS = 1_000_000
+LOG, SCHEMAS, ERASED = "_log", "_schemas", "_erased"
 WRITER, PART = "writer", "batch_id"
-PART_TYPES = "writer string, batch_id long"
+LOG_SCHEMA = f"seq bigint, tbl string, kind string, {X.SUMMARY}"
+FILE, ROW = "_file", "_row"
+
+
+def moment(at: dt.datetime) -> Column:
+    """A UTC wall-clock time as a column, whatever the session's zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def _matching(rows: DataFrame, where: dict[str, object]) -> DataFrame:
+    for name, value in where.items():
+        rows = rows.filter(F.col(TIME) >= moment(value) if name == "since" else F.col(TIME) < moment(value)
+                           if name == "before" else F.col(name) == F.lit(value))
+    return rows
 
 
 class TableStore:
@@ -57,148 +93,303 @@ class TableStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.writer = writer
+        self._folders: dict[str, str] = {}
+        self._done: list[DataFrame] = []
 
     def as_writer(self, writer: str) -> TableStore:
         """The same store, written under another writer's name."""
         return TableStore(self.spark, self.root, writer)
 
-    # -- reading -----------------------------------------------------------
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
-    def commits(self) -> DataFrame | None:
-        """(writer, batch_id) of every committed batch."""
-        p = self.path(COMMITS)
-        if not _exists(self.spark, p):
+    # -- versions ------------------------------------------------------------
+    def log(self, version: int | None = None) -> DataFrame | None:
+        """What the batches did, up to a version; None without a batch."""
+        try:
+            log = self.spark.read.schema(f"{LOG_SCHEMA}, {WRITER} string, {PART} bigint").parquet(self.path(LOG))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        return self.spark.read.schema(PART_TYPES).parquet(p)
+        return log if version is None else log.filter(F.col("seq") <= version)
 
-    def _stored(self, table: str) -> DataFrame | None:
-        """All rows of a table, committed or not, with their writer and batch_id."""
-        kept = self.path(f"{SCHEMAS}/{table}")
-        if not _exists(self.spark, kept):
+    def version(self) -> int | None:
+        """The newest version; reads that are given it see the tables as they are now."""
+        log = self.log()
+        return None if log is None else log.agg(F.max("seq")).first()[0]
+
+    def files(self, table: str, version: int | None = None, **may: object) -> DataFrame | None:
+        """The files of a table with what they may hold; ``may``: see :meth:`read`."""
+        log = self.log(version)
+        if log is None:
+            return None
+        of = log.filter(F.col("tbl") == table)
+        live = of.filter("kind = 'rows'").join(of.filter("kind = 'gone'").select("path"), "path", "left_anti")
+        for name, value in may.items():
+            if name == "since":
+                live = live.filter(F.col("last_at").isNull() | (F.col("last_at") >= moment(value)))
+            elif name == "before":
+                live = live.filter(F.col("first_at").isNull() | (F.col("first_at") < moment(value)))
+            elif name == "id":
+                live = live.filter(F.col("low_id").isNull() | F.lit(value).between(F.col("low_id"), F.col("high_id")))
+            else:
+                live = live.filter(X.facet_may_be(name, value))
+        if "id" in may:
+            one = self.spark.range(1).select(X.id_hash(F.lit(may["id"]))).first()[0]
+            live = live.join(X.may_hold(live, np.array([one])), "path", "left_semi")
+        return live
+
+    def _schema(self, table: str) -> StructType | None:
+        try:
+            kept = self.spark.read.text(self.path(f"{SCHEMAS}/{table}"), wholetext=True).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
-        schema = StructType.fromJson(json.loads(self.spark.read.text(kept, wholetext=True).first()[0]))
-        schema = schema.add(WRITER, "string").add(PART, "long")
-        return self.spark.read.schema(schema).parquet(self.path(table))
-
-    def read(self, table: str, exclude_batch: int | None = None) -> DataFrame | None:
-        """Committed rows; ``exclude_batch`` leaves out one batch of this store's own writer."""
-        commits, rows = self.commits(), self._stored(table)
-        if commits is None or rows is None:
+        return StructType.fromJson(json.loads(kept[0]))
+
+    # -- reading -------------------------------------------------------------
+    def read_files(self, table: str, paths: Iterable[str], version: int | None = None,
+                   located: bool = False) -> DataFrame:
+        """The rows of some files of a table without those replaced since; ``located`` adds each row's file and place."""
+        schema, paths = self._schema(table), sorted(set(paths))
+        extra = f"{FILE} string, {ROW} bigint"
+        if not paths:
+            empty = self.spark.createDataFrame([], schema)
+            return empty.select("*", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in extra.split(", ")]) \
+                if located else empty
+        rows = self.spark.read.schema(schema).parquet(*paths)
+        erased = [r[0] for r in self.log(version).filter((F.col("tbl") == table) & (F.col("kind") == "erased"))
+                  .select("path").distinct().collect()]
+        if not erased and not located:
+            return rows
+        rows = rows.select(*schema.names, F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        if erased:
+            gone = self.spark.read.schema(extra).parquet(*erased)
+            rows = rows.join(gone, [FILE, ROW], "left_anti")
+        return rows if located else rows.select(*schema.names)
+
+    def read(self, table: str, version: int | None = None, located: bool = False, **where: object) -> DataFrame | None:
+        """A table's rows, newest or at a version.
+
+        ``where`` opens only files that may hold such rows, and keeps only such rows: ``since`` and ``before`` are
+        UTC times, ``id`` an id, any other name a facet column of the table with the value it must have.
+        """
+        if self._schema(table) is None:
             return None
-        if exclude_batch is not None:
-            commits = commits.filter(~((F.col(WRITER) == self.writer) & (F.col(PART) == exclude_batch)))
-        return rows.join(commits, [WRITER, PART], "left_semi").drop(WRITER, PART)
+        files = self.files(table, version, **where)
+        if files is None:
+            return None
+        rows = self.read_files(table, [r[0] for r in files.select("path").distinct().collect()], version, located)
+        return _matching(rows, where)
 
-    def own_batch(self, table: str, batch_id: int) -> DataFrame:
-        """The rows that this writer's batch has put into a table (visible before the commit)."""
-        return self._stored(table).filter((F.col(WRITER) == self.writer) & (F.col(PART) == batch_id)).drop(WRITER, PART)
+    def newest(self, table: str, limit: int, version: int | None = None, **where: object) -> DataFrame:
+        """The ``limit`` newest rows (ties by id) that match, opening files from the newest on until no other can matter.
 
-    # -- writing -----------------------------------------------------------
-    def _insert_absent(self, table: str, rows: DataFrame, order: list[str], batch_id: int) -> DataFrame:
+        The paths and time ranges of the files that may match go to the driver.
+        """
+        files = (self.files(table, version, **where).groupBy("path")
+                 .agg(F.count("last_at").alias("timed"), F.count("*").alias("parts"), F.max("last_at").alias("last_at"),
+                      F.sum("n_rows").alias("n_rows")).collect())
+        # a file with rows of unknown time stands in front
+        files.sort(key=lambda f: (f["timed"] == f["parts"], f["last_at"] and -f["last_at"].timestamp(), f["path"]))
+        take, need = 0, limit
+        while True:
+            have = sum(f["n_rows"] for f in files[:take])
+            while take < len(files) and have < need:
+                have += files[take]["n_rows"]
+                take += 1
+            rows = _matching(self.read_files(table, [f["path"] for f in files[:take]], version), where)
+            rows = rows.orderBy(F.col(TIME).desc(), ID).limit(limit)
+            if take == len(files):
+                return rows
+            least = rows.agg(F.count("*").alias("n"), F.min(TIME).alias("least")).first()
+            if least["n"] == limit and least["least"] > files[take]["last_at"]:
+                return rows
+            need = 2 * have
+
+    def own_batch(self, table: str) -> DataFrame:
+        """The rows that the batch being written has put into a table (not visible to readers yet)."""
+        return self.spark.read.schema(self._schema(table)).parquet(self._folders[table]).select(*self._schema(table).names)
+
+    # -- writing -------------------------------------------------------------
+    def committed(self, batch_id: int) -> bool:
+        log = self.log()
+        return log is not None and not log.filter((F.col(WRITER) == self.writer) & (F.col(PART) == batch_id)).isEmpty()
+
+    def holding(self, table: str, hashes: DataFrame) -> list[str]:
+        """The files that may hold a row with one of the hashes (one column) of keys or ids."""
+        files = self.files(table)
+        if files is None:
+            return []
+        some = hashes.distinct().limit(X.LOOKUP_HASHES + 1).toPandas().iloc[:, 0].to_numpy(np.int64)
+        paths = files.select("path").distinct() if len(some) > X.LOOKUP_HASHES else X.may_hold(files, some)
+        return [r[0] for r in paths.collect()]
+
+    def _insert_absent(self, table: str, rows: DataFrame, order: list[str]) -> DataFrame:
         keys = TABLES[table]
-        keys = [keys] if isinstance(keys, str) else keys
         batch = first_wins(rows, keys, order)
-        stored = self.read(table, exclude_batch=batch_id)   # a retried batch replaces itself
-        if stored is None:
+        if self._schema(table) is None:
             return batch
-        # stored keys that collide with this batch: scan the key columns only
-        batch_keys = batch.select(*keys)
-        hits = stored.select(*keys).join(batch_keys, keys, "left_semi")
-        return batch.join(hits, keys, "left_anti")
+        batch = batch.withColumn("_key", X.row_key(keys))
+        paths = self.holding(table, batch.select(X.key_hash(F.col("_key"))))
+        if not paths:
+            return batch.drop("_key")
+        stored = self.read_files(table, paths).select(X.row_key(keys).alias("_key"))
+        return batch.join(stored, "_key", "left_anti").drop("_key")
 
     def _write(self, table: str, df: DataFrame, batch_id: int) -> None:
-        kept = self.path(f"{SCHEMAS}/{table}")
-        if not _exists(self.spark, kept):
-            self.spark.range(1).select(F.lit(df.schema.json())).write.mode("overwrite").text(kept)
-        self._write_part(table, df, batch_id)
-
-    def _write_part(self, table: str, df: DataFrame, batch_id: int) -> None:
-        (df.withColumns({WRITER: F.lit(self.writer), PART: F.lit(batch_id)})
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(WRITER, PART).parquet(self.path(table)))
+        """Write rows of the batch into a new folder and note them for its log."""
+        if self._schema(table) is None:
+            self.spark.range(1).select(F.lit(df.schema.json())).write.mode("overwrite").text(
+                self.path(f"{SCHEMAS}/{table}"))
+        folder = self._folder(table, batch_id)
+        keys, facets = LOOKUP.get(table, []), FACETS.get(table, [])
+        names = df.columns
+        if TIME in names:
+            df = df.withColumn("_day", F.date_format(TIME, "yyyy-MM-dd"))
+            if keys:
+                df = df.repartitionByRange("_day", *facets[:1], X.key_hash(X.row_key(keys)))
+        writer = df.write.option("maxRecordsPerFile", FILE_ROWS)
+        (writer.partitionBy("_day") if TIME in names else writer).parquet(folder)
+        self._folders[table] = folder
+        written = self.spark.read.schema(self._schema(table)).parquet(folder)
+        self._done.append(X.summaries(
+            written, [k for k in keys if k in names], [f for f in facets if f in names], TIME if TIME in names else None,
+            ID if ID in names and keys else None).withColumns({"tbl": F.lit(table), "kind": F.lit("rows")}))
+
+    def _folder(self, table: str, batch_id: int) -> str:
+        return f"{self.path(table)}/{WRITER}={self.writer}/{PART}={batch_id}/run={uuid.uuid4().hex[:12]}"
+
+    def _take_away(self, table: str, paths: DataFrame) -> None:
+        """Note files (column path) that are no part of the table any more."""
+        self._note(table, "gone", paths)
+
+    def _note(self, table: str, kind: str, paths: DataFrame) -> None:
+        self._done.append(paths.select("path").withColumns({"tbl": F.lit(table), "kind": F.lit(kind)}))
+
+    def _erase(self, table: str, rows: DataFrame, batch_id: int) -> None:
+        """Note located rows as replaced."""
+        folder = self._folder(f"{ERASED}/{table}", batch_id)
+        rows.select(FILE, ROW).write.parquet(folder)
+        self._note(table, "erased", self.spark.createDataFrame([(folder,)], "path string"))
 
     def _commit(self, batch_id: int) -> None:
-        self._write_part(COMMITS, self.spark.range(1).select(F.current_timestamp().alias("committed_at")), batch_id)
-
-    def write_gate_batch(self, gate: DataFrame, batch_id: int,
-                         policy: pii.PiiPolicy = pii.STRICT) -> None:
-        """Persist one normalized batch: assessments, audit, outbox, failures, violations.
-
-        The gate result is materialized once into the batch folders; the
-        commit marker is written after every table, so a crash in between
-        leaves an invisible batch that the retry overwrites.
+        """Write the batch's one log file, which makes it visible."""
+        seq = time.time_ns() // 1000
+        done = self.spark.createDataFrame([("", "commit")], "tbl string, kind string")
+        for part in self._done:
+            done = done.unionByName(part, allowMissingColumns=True)
+        schema = StructType.fromDDL(LOG_SCHEMA)
+        done = done.withColumn("seq", F.lit(seq).cast("bigint"))
+        done = done.select(*[(F.col(f.name) if f.name in done.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in schema], F.lit(self.writer).alias(WRITER), F.lit(batch_id).alias(PART))
+        (done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(WRITER, PART).parquet(self.path(LOG)))
+        self._done, self._folders = [], {}
+
+    def begin(self, batch_id: int) -> bool:
+        """False if the batch is already stored; forgets what a failed attempt noted."""
+        self._done, self._folders = [], {}
+        return not self.committed(batch_id)
+
+    def _write_assessments(self, rows: DataFrame, batch_id: int) -> None:
+        """New assessments with their audit and outbox rows.
+
+        The three stand under one commit, so an assessment that is not stored has no stored audit or outbox row.
         """
+        self._write("assessments", self._insert_absent("assessments", rows.select(*P_ASSESSMENT_COLS), ["created_at"]),
+                    batch_id)
+        kept = rows.join(self.own_batch("assessments").select("id"), "id", "left_semi")
+        kept = first_wins(kept, ["id"], ["created_at"])
+        self._write("normalization_audit_log", P.audit_rows(kept), batch_id)
+        self._write("outbox", P.outbox_rows(kept), batch_id)
+
+    def write_gate_batch(self, gate: DataFrame, batch_id: int, policy: pii.PiiPolicy = pii.STRICT) -> None:
+        """Persist one normalized batch: assessments, audit, outbox, failures, violations."""
+        if not self.begin(batch_id):
+            return
         gate = gate.persist()
         try:
-            a = P.assessment_rows(gate)
-            a_rows = self._insert_absent("assessments", a.select(*[c for c in P_ASSESSMENT_COLS]), ["created_at"],
-                                         batch_id)
-            self._write("assessments", a_rows, batch_id)
-            stored_a = self.own_batch("assessments", batch_id)
-            kept = a.join(stored_a.select("id"), "id", "left_semi")
-            self._write("normalization_audit_log",
-                        self._insert_absent("normalization_audit_log", P.audit_rows(kept), ["created_at"], batch_id),
-                        batch_id)
-            self._write("outbox", self._insert_absent("outbox", P.outbox_rows(kept), ["created_at"], batch_id),
-                        batch_id)
-            failed = P.failed_rows(gate, policy).drop("payload_id")
-            self._write("failed_records", self._insert_absent("failed_records", failed, ["created_at", "id"],
-                                                              batch_id), batch_id)
-            viol = P.violation_rows(gate, policy).drop("payload_id")
-            self._write("schema_violations", self._insert_absent("schema_violations", viol, ["created_at", "id"],
-                                                                 batch_id), batch_id)
+            self._write_assessments(P.assessment_rows(gate), batch_id)
+            self._write_errors(P.failed_rows(gate, policy).drop("payload_id"),
+                               P.violation_rows(gate, policy).drop("payload_id"), batch_id)
             self._commit(batch_id)
         finally:
             gate.unpersist()
 
     def write_envelope_batch(self, rows: DataFrame, batch_id: int, others: dict[str, DataFrame] | None = None) -> None:
         """Persist assessments + audit + outbox from envelope rows, and rows of plain tables, under one commit."""
+        if not self.begin(batch_id):
+            return
         rows = rows.persist()
         try:
-            a_rows = self._insert_absent("assessments", rows.select(*P_ASSESSMENT_COLS), ["created_at"], batch_id)
-            self._write("assessments", a_rows, batch_id)
-            stored_a = self.own_batch("assessments", batch_id)
-            kept = rows.join(stored_a.select("id"), "id", "left_semi")
-            self._write("normalization_audit_log",
-                        self._insert_absent("normalization_audit_log", P.audit_rows(kept), ["created_at"], batch_id),
-                        batch_id)
-            self._write("outbox", self._insert_absent("outbox", P.outbox_rows(kept), ["created_at"], batch_id),
-                        batch_id)
+            self._write_assessments(rows, batch_id)
             for table, more in (others or {}).items():
                 self._write(table, more, batch_id)
             self._commit(batch_id)
         finally:
             rows.unpersist()
 
+    def _write_errors(self, failed: DataFrame, violations: DataFrame, batch_id: int) -> None:
+        for table, rows in (("failed_records", failed), ("schema_violations", violations)):
+            self._write(table, self._insert_absent(table, rows, ["created_at", "id"]), batch_id)
+
     def write_error_batch(self, failed: DataFrame, violations: DataFrame, batch_id: int) -> None:
         """Persist failed records and violations under one commit, first write wins."""
-        for table, rows in (("failed_records", failed), ("schema_violations", violations)):
-            self._write(table, self._insert_absent(table, rows, ["created_at", "id"], batch_id), batch_id)
-        self._commit(batch_id)
+        if self.begin(batch_id):
+            self._write_errors(failed, violations, batch_id)
+            self._commit(batch_id)
 
     def write_table_batch(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        """Append a batch to a plain (unkeyed) table, e.g. a quarantine."""
-        self._write(table, rows, batch_id)
-        self._commit(batch_id)
+        """Append a batch to one table: a keyed one takes absent keys only, a plain one (e.g. a quarantine) all rows."""
+        if self.begin(batch_id):
+            self._write(table, self._insert_absent(table, rows, ["created_at"]) if table in TABLES else rows, batch_id)
+            self._commit(batch_id)
+
+    def replace_rows(self, table: str, located: DataFrame, batch_id: int) -> None:
+        """Put new versions of located rows in place of the old ones (part of a batch: commits nothing)."""
+        self._erase(table, located, batch_id)
+        self._write(table, located.drop(FILE, ROW), batch_id)
+
+    def vacuum(self, version: int) -> list[str]:
+        """Clear the folders that no version from ``version`` on uses; returns them.
+
+        Readers of older versions must have ended. Folder names go to the driver.
+        """
+        log, folder = self.log(), F.regexp_replace("path", "/[^/]+$", "")
+        gone = log.filter((F.col("kind") == "gone") & (F.col("seq") <= version)).select("path")
+        rows = log.filter("kind = 'rows'")
+        live = rows.join(gone, "path", "left_anti").select(folder.alias("folder"))
+        dead = (rows.join(gone, "path", "left_semi").select(folder.alias("folder")).distinct()
+                .join(live, "folder", "left_anti"))
+        cleared = [r[0] for r in dead.collect()]
+        for path in cleared:            # an empty overwrite removes the files wherever the store lies
+            self.spark.createDataFrame([], "id string").coalesce(1).write.mode("overwrite").parquet(path)
+        return cleared
 
     # -- outbox state --------------------------------------------------------
     def append_outbox_state(self, states: DataFrame, batch_id: int) -> None:
         """Append state events ``(assessment_id, status, retries, flushed_at)``."""
-        ev = states.select("assessment_id", "status", "retries", "flushed_at").withColumn("version", F.lit(batch_id))
-        self._write("outbox_state", ev, batch_id)
-        self._commit(batch_id)
+        if self.begin(batch_id):
+            self.note_outbox_state(states, batch_id)
+            self._commit(batch_id)
 
-    def outbox_current(self) -> DataFrame | None:
+    def note_outbox_state(self, states: DataFrame, batch_id: int) -> None:
+        """State events as part of a batch (commits nothing); later batches overrule earlier ones."""
+        events = states.select("assessment_id", "status", "retries", "flushed_at")
+        self._write("outbox_state", events.withColumn("version", F.lit(time.time_ns() // 1000)), batch_id)
+
+    def outbox_current(self, version: int | None = None) -> DataFrame | None:
         """Outbox rows with their latest state (``max_by`` over state versions)."""
-        base = self.read("outbox")
+        base = self.read("outbox", version)
         if base is None:
             return None
-        ev = self.read("outbox_state")
-        if ev is None:
+        events = self.read("outbox_state", version)
+        if events is None:
             return base
-        latest = ev.groupBy("assessment_id").agg(
+        latest = events.groupBy("assessment_id").agg(
             F.max_by(F.struct("status", "retries", "flushed_at"), "version").alias("s"))
         j = base.join(latest, "assessment_id", "left")
         return j.select(*[c for c in base.columns if c not in ("status", "retries", "flushed_at")],
@@ -209,10 +400,3 @@ class TableStore:
 
 P_ASSESSMENT_COLS = ["id", "patient_id", "assessment_date", "assessment_type", "scores", "source_provider",
                      "source_format", "ingested_at", "version", "created_at"]
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm  # noqa: SLF001
-    conf = spark._jsc.hadoopConfiguration()  # noqa: SLF001
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
