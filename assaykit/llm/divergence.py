@@ -19,7 +19,8 @@ kept terms. ``f(p, q) = floor((p - q)**2 / q)``.
 * ``term``: each source's kept terms that it uses more than the language, the first
   ``TOP`` by f; a rank limit that Spark applies before the shuffle.
 
-All arithmetic is exact: p by decimals of 38 digits; p is at most SCALE + 1, so a square is
+All arithmetic is exact: p by decimals of 38 digits
+where a long does not hold it; p is at most SCALE + 1, so a square is
 below 2**63, and a group's values add up to at most SCALE + V, which bounds every sum of f.
 
 Null text, lang and source count as ''. Groups without a term still are groups; a language
@@ -54,11 +55,11 @@ def terms_of(text: str) -> list[bytes]:
 
 def _passed_on(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
     for (lang, source), (counts, docs) in held.items():
-        terms = list(counts)
+        n = len(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-             pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64()),
-             pa.array([docs[t] for t in terms], pa.int64())], schema=_COUNTS)
+            [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n),
+             pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64()),
+             pa.array(list(map(docs.__getitem__, counts)), pa.int64())], schema=_COUNTS)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,15 +67,19 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     entries = size = 0
     for batch in batches:
-        for lang, text, sources in zip(*batch.columns):
-            once = Counter(terms_of(text.as_py()))
-            for of in sources.as_py():
-                counts, docs = held.setdefault((lang.as_py(), of["source"]), (Counter(), Counter()))
-                before = len(counts)
-                times = of["copies"]
-                for term, n in once.items():
-                    counts[term] += n * times
-                    docs[term] += times
+        for lang, text, sources in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            terms = terms_of(text.as_py())
+            once = set(terms)
+            for of in sources:
+                counts, docs = held.setdefault((lang, of["source"]), (Counter(), Counter()))
+                before, times = len(counts), of["copies"]
+                if times == 1:
+                    counts.update(terms)
+                    docs.update(once)
+                else:
+                    for term, n in Counter(terms).items():
+                        counts[term] += n * times
+                        docs[term] += times
                 entries += len(counts) - before
             size += sum(map(len, once))
             if entries > HELD or size > HELD_BYTES:
@@ -84,20 +89,27 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences, and documents with the term, of each source of each language."""
+    """(lang, source, term, n, docs): occurrences, and documents with the term, of each source of each language.
+
+    The rows are dealt by language and term: a task has combined its texts' counts before, so a term has at most one
+    row for each task's pass and source.
+    """
     rows = docs.withColumn("digest", F.unhex(F.sha2("text", 256)))
     texts = rows.select("lang", "digest", "text").dropDuplicates(["lang", "digest"])
     copies = (rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
               .groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("sources")))
     counted = (texts.join(copies, ["lang", "digest"]).select("lang", "text", "sources")
                .mapInArrow(_count_terms, "lang string, source string, term string, n bigint, docs bigint"))
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return (counted.repartition("lang", "term").groupBy("lang", "source", "term")
+            .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """p of a count in a group of ``total`` occurrences of ``terms`` kept terms; null without terms."""
     wide = (count.cast("decimal(20,0)") + 1) * F.lit(SCALE).cast("decimal(10,0)")
-    return F.when(terms > 0, 1 + F.call_function("div", wide, (total + terms).cast("decimal(20,0)")))
+    fits = count < (1 << 63) // SCALE - 1           # the product stays a long
+    return F.when(terms > 0, 1 + F.when(fits, F.call_function("div", (count + 1) * F.lit(SCALE).cast("long"), total + terms))
+                  .otherwise(F.call_function("div", wide, (total + terms).cast("decimal(20,0)"))))
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -108,9 +120,8 @@ def apart(p: Column, q: Column) -> Column:
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank) as the module's docstring says."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    counts = written(term_counts(docs), "term-counts")
     in_lang = Window.partitionBy("lang", "term")
-    kept = written(counts.withColumns({"in_docs": F.sum("docs").over(in_lang), "lang_n": F.sum("n").over(in_lang)})
+    kept = written(term_counts(docs).withColumns({"in_docs": F.sum("docs").over(in_lang), "lang_n": F.sum("n").over(in_lang)})
                    .filter(F.col("in_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n"), "kept-terms")
 
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
