@@ -709,11 +709,15 @@ def ts_latency_quantile(spark, sf):
                     _r(F.col("p99")).alias("p99"))
 
 
+#: Every metric has a sample each so many seconds, whatever the length of its window.
+ALERT_STEP = 300
+
+
 def _metric_samples(spark, sf):
     e = _latency(spark, sf)
     ratio = TS.error_ratio(e, "ts", _is_error()).select(
         F.lit("error_ratio_5m").alias("metric"), "window_start", F.col("error_ratio").alias("value"))
-    slow = TS.error_ratio(e, "ts", _is_error(), length="15 minutes").select(
+    slow = TS.error_ratio(e, "ts", _is_error(), length="15 minutes", slide="5 minutes").select(
         F.lit("error_ratio_15m").alias("metric"), "window_start", F.col("error_ratio").alias("value"))
     lat = TS.latency_quantiles(e, "ts", F.col("latency_s"), BUCKETS_HTTP_SECONDS, qs=(0.99,)).select(
         F.lit("latency_p99_5m").alias("metric"), "window_start", F.col("p99").alias("value"))
@@ -729,17 +733,47 @@ def ts_alert_threshold(spark, sf):
 @query("ts_alert_sustained")
 def ts_alert_sustained(spark, sf):
     ev = TS.alert_threshold(_metric_samples(spark, sf), TS.rules_frame(spark))
-    s = TS.alert_sustained(ev, 300)
+    s = TS.alert_sustained(ev, ALERT_STEP)
     return s.select("rule", "island_start", "island_last", "samples", "duration_seconds", "active_from")
 
 
 @query("ts_gauge_snapshot")
 def ts_gauge_snapshot(spark, sf):
-    """Outbox rows per status as of the end of each month (running totals per status)."""
-    ob = _orders_outbox(spark, sf).withColumn("month", F.date_trunc("month", "created_at").cast("timestamp_ntz"))
-    m = ob.groupBy("status", "month").agg(F.count("*").alias("created"))
-    w = Window.partitionBy("status").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    return m.withColumn("cumulative", F.sum("created").over(w))
+    """Outbox backlog at the start of each day, by priority: orders wait from their date until their last shipment, those
+    that are not finished stay."""
+    shipped = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max("l_shipdate").alias("shipped"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    rows = o.join(shipped, "o_orderkey", "left").select(
+        F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+        F.when(F.col("o_orderstatus") == "F", F.col("shipped").cast("timestamp_ntz")).alias("flushed_at"))
+    return TS.backlog(rows, "created_at", "flushed_at", 86_400, ["priority"])
+
+
+def _backlog_samples(spark, sf):
+    """Gauges of the stored tables each five minutes, and the share of payloads that fail."""
+    store = _stored(spark, sf)
+    ever = F.lit(None).cast("timestamp_ntz")
+    hour = F.col("created_at") + F.expr("INTERVAL '0 01:00:00.000001' DAY TO SECOND")    # an hour ago still counts
+    gauges = [("failed_records_pending", store.read("failed_records", replayed=False).withColumn("gone_at", ever)),
+              ("schema_violations_recent", store.read("schema_violations").withColumn("gone_at", hour)),
+              ("outbox_pending", store.outbox_current().withColumn("gone_at", F.col("flushed_at")))]
+    out = [TS.backlog(rows, "created_at", "gone_at", ALERT_STEP).select(
+        F.lit(name).alias("metric"), F.col("at").alias("window_start"), F.col("open").cast("double").alias("value"))
+        for name, rows in gauges]
+    gate = _gate(spark, sf).select("received_at", (F.col("stage") != P.STAGE_OK).alias("failed"))
+    out.append(TS.error_ratio(gate, "received_at", F.col("failed")).select(
+        F.lit("failure_ratio_5m").alias("metric"), "window_start", F.col("error_ratio").alias("value")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+@query("ts_alert_backlog")
+def ts_alert_backlog(spark, sf):
+    """The rules on stored backlogs and on failing payloads: their unbroken firing times that are long enough."""
+    rules = TS.rules_frame(spark)
+    ev = TS.alert_threshold(_backlog_samples(spark, sf), rules).filter("window_start IS NOT NULL")
+    s = TS.alert_sustained(ev, ALERT_STEP)
+    return s.select("rule", "island_start", "island_last", "samples", "duration_seconds", "active_from")
 
 
 # ---------------------------------------------------------------------------
@@ -1011,17 +1045,24 @@ def j_replay(spark, sf):
         .agg(F.count("*").alias("n"))
 
 
-def _time_ordered_files(spark, df, ts, name, n_files=6):
-    """Write ``df`` as ``n_files`` Parquet files in time order (one job each)."""
+def _ddl(df):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _time_ordered_files(spark, df, ts, name, key, n_slices=6):
+    """Write ``df`` as files in time order: all rows by slice of time first, then slice after slice into the folder that
+    a stream reads. A key's rows of one slice share a file, so a key's rows arrive in time order however files are
+    grouped into micro-batches."""
     from assaykit.session import scratch_dir
     root = scratch_dir(spark, name)
-    bounds = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    step = (hi - lo) / n_files
-    for i in range(n_files):
-        a = lo + step * i
-        part = df.filter((F.col(ts) >= F.lit(a)) & ((F.col(ts) < F.lit(a + step)) if i < n_files - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    bounds = df.agg(F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("lo"),
+                    F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("hi")).first()
+    width = (bounds["hi"] - bounds["lo"]) // n_slices + 1
+    at = F.unix_micros(F.col(ts).cast("timestamp")) - bounds["lo"]
+    df.withColumn("_slice", F.floor(at / width).cast("int")).repartition(key).write.partitionBy("_slice").parquet(f"{root}/slices")
+    slices = spark.read.schema(f"{_ddl(df)}, _slice int").parquet(f"{root}/slices")
+    for i in range(n_slices):
+        slices.filter(F.col("_slice") == i).drop("_slice").repartition(key).write.mode("append").parquet(f"{root}/in")
     return root
 
 
@@ -1031,9 +1072,9 @@ def st_dedup_window(spark, sf):
     as a stateful stream (state = last accepted time per event id)."""
     from assaykit.streaming.jobs import dedup_exact
     df = _events_with_redelivery(spark, sf).select("event_id", "ts", "user_id", "event_type")
-    root = _time_ordered_files(spark, df, "ts", "dedup")
+    root = _time_ordered_files(spark, df, "ts", "dedup", "event_id")
     schema = df.schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     q = (dedup_exact(stream, "event_id", "ts").writeStream.format("parquet")
          .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
          .outputMode("append").trigger(availableNow=True).start())
@@ -1106,31 +1147,76 @@ def sink_json(spark, sf):
                        F.col("assessmentType").alias("assessment_type"), F.size("scores").alias("n_scores"))
 
 
+def _messages(spark, sf):
+    """Messages of the events' payloads: every envelope, every bare assessment, and junk of every provider B payload."""
+    a = P.assessment_rows(_gate(spark, sf))
+    env = a.select(F.concat(F.lit("env-"), F.col("id")).alias("msg_id"), P.envelope_json(a).alias("body"),
+                   F.col("ingested_at").alias("sent_at"))
+    legacy = a.select(F.concat(F.lit("leg-"), F.col("id")).alias("msg_id"), P.camel_json(a).alias("body"),
+                      F.col("ingested_at").alias("sent_at"))
+    junk = synth.provider_b_payloads(_events(spark, sf)).select(
+        F.concat(F.lit("poi-"), F.col("payload_id")).alias("msg_id"), F.concat(F.lit("x"), F.col("raw")).alias("body"),
+        F.col("received_at").alias("sent_at"))
+    return env, legacy, junk
+
+
+def _counted(store, tables):
+    return functools.reduce(DataFrame.unionByName, [
+        rows.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).withColumn("table_name", F.lit(name))
+        for name, rows, key in tables]).select("table_name", "key", "n")
+
+
+def _consumer_deliver(fan, _opts):
+    """Sink results by the id in the message: http_main refuses assessments whose id starts with 8 to f."""
+    first = F.substring(F.substring("assessment_id", -36, 36), 1, 1)
+    ok = F.when(F.col("sink_name") == "http_main", first < F.lit("8")).otherwise(F.lit(True))
+    return fan.select("assessment_id", "sink_name", ok.alias("ok"), F.when(~ok, F.lit("503 from endpoint")).alias("error"))
+
+
 @query("stream_outbox")
 def stream_outbox(spark, sf):
-    """Outbox messages (envelopes, bare assessments, junk) consumed as a stream:
-    envelopes stored once each, legacy recorded for delivery, poison quarantined."""
-    from assaykit.streaming.jobs import start_envelope_consumer
+    """Outbox messages (all envelopes, bare assessments and junk) consumed as a stream: envelopes stored once each and
+    delivered, legacy messages delivered, what a sink refused left for the sweep or a redelivery, poison quarantined."""
+    from assaykit.streaming.jobs import redeliver_legacy, start_envelope_consumer
     store = _store(spark, "outbox-stream")
-    a = P.assessment_rows(_gate(spark, sf))
-    env = a.select(F.concat(F.lit("env-"), F.col("id")).alias("msg_id"), P.envelope_json(a).alias("body"))
-    legacy = a.filter(F.col("source_provider") == "provider_c").select(
-        F.concat(F.lit("leg-"), F.col("id")).alias("msg_id"), P.camel_json(a).alias("body"))
-    poison = synth.provider_b_payloads(_events(spark, sf)).filter(F.col("payload_id").endswith("0")).select(
-        F.concat(F.lit("poi-"), F.col("payload_id")).alias("msg_id"), F.concat(F.lit("x"), F.col("raw")).alias("body"))
+    env, legacy, junk = _messages(spark, sf)
     src = f"{store.root}/incoming"
-    env.unionByName(legacy).unionByName(poison).repartition(4, "msg_id").write.parquet(src)
+    env.unionByName(legacy).unionByName(junk).drop("sent_at").repartition(4, "msg_id").write.parquet(src)
     msgs = spark.readStream.schema("msg_id string, body string").option("maxFilesPerTrigger", 2).parquet(src)
-    start_envelope_consumer(msgs, store, f"{store.root}/ckpt").awaitTermination()
-    stored = store.read("assessments").groupBy(F.col("source_provider").alias("key")).agg(F.count("*").alias("n")) \
-        .withColumn("table_name", F.lit("assessments"))
-    au = store.read("normalization_audit_log").agg(F.count("*").alias("n")).withColumn("key", F.lit("all")) \
-        .withColumn("table_name", F.lit("normalization_audit_log"))
-    leg = store.read("legacy_deliveries").agg(F.count("*").alias("n")).withColumn("key", F.lit("all")) \
-        .withColumn("table_name", F.lit("legacy_deliveries"))
-    q = store.read("quarantine").agg(F.count("*").alias("n")).withColumn("key", F.lit("all")) \
-        .withColumn("table_name", F.lit("quarantine"))
-    return stored.unionByName(au).unionByName(leg).unionByName(q).select("table_name", "key", "n")
+    sinks = J.active_sinks(J.sinks_frame(spark, SINKS))
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    start_envelope_consumer(msgs, store, f"{store.root}/ckpt", sinks=sinks, deliver=_consumer_deliver,
+                            as_of=as_of).awaitTermination()
+    redeliver_legacy(store, sinks, _consumer_deliver, as_of, 0)
+    results = store.read("legacy_results")
+    everything = F.lit("all")
+    return _counted(store, [
+        ("assessments", store.read("assessments"), F.col("source_provider")),
+        ("normalization_audit_log", store.read("normalization_audit_log"), everything),
+        ("outbox", store.outbox_current(), F.col("status")),
+        ("legacy_deliveries", store.read("legacy_deliveries"), everything),
+        ("legacy_results", results, F.concat_ws(" ", "attempt", F.col("ok").cast("string"))),
+        ("quarantine", store.read("quarantine"), everything)])
+
+
+@query("stream_assessments")
+def stream_assessments(spark, sf):
+    """Assessment messages consumed as a stream: each envelope goes on to the outbox stream under its id, its copies of 5
+    minutes later are dropped and those of 11 minutes later go on; bare assessments and junk are poison here."""
+    from assaykit.streaming.jobs import start_assessment_consumer
+    store = _store(spark, "assessment-stream")
+    env, legacy, junk = _messages(spark, sf)
+    again = [env.withColumns({"sent_at": F.col("sent_at") + F.expr(f"INTERVAL {m} MINUTES")}) for m in (5, 11)]
+    every = functools.reduce(DataFrame.unionByName, [env, *again, legacy, junk]).withColumn(
+        "sent_at", F.col("sent_at").cast("timestamp_ntz"))
+    root = _time_ordered_files(spark, every, "sent_at", "assessment-messages", "msg_id")
+    msgs = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
+    start_assessment_consumer(msgs, store, f"{store.root}/ckpt").awaitTermination()
+    sent = store.read("forwarded").groupBy("msg_id").agg(F.count("*").alias("times"))
+    return _counted(store, [
+        ("ids", sent, F.col("times")),
+        ("forwarded", store.read("forwarded"), F.date_format("sent_at", "yyyy-MM-dd")),
+        ("quarantine", store.read("quarantine"), F.substring("msg_id", 1, 3))])
 
 
 @query("stream_errors")

@@ -355,6 +355,11 @@ vr AS (SELECT {uuid("'violation#' || CASE WHEN stage = 'pre' THEN 'pre_transform
        FROM f WHERE stage IN ('pre', 'post'))"""
 _FAILED = f"{GATE},\n{_F}"
 
+# what the store holds of the failures: one per input and provider, the first
+_H = f"""{_F},
+held AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY provider, input_hash ORDER BY created_at, id) = 1),
+vheld AS (SELECT * FROM vr QUALIFY row_number() OVER (PARTITION BY boundary, provider, input_hash ORDER BY created_at, id) = 1)"""
+
 _o("api_view_failed", f"""WITH {_FAILED}
 SELECT id, provider, error_kind, input_hash, replayed FROM f""")
 
@@ -595,9 +600,9 @@ samples AS (
   SELECT 'error_ratio_5m' AS metric, {_bucket(300)} AS window_start,
          count(*) FILTER (WHERE event_type = 'error') / count(*){D} AS value
   FROM events GROUP BY ALL
-  UNION ALL SELECT 'error_ratio_15m', {_bucket(900)},
+  UNION ALL SELECT 'error_ratio_15m', {_bucket(300)} - to_minutes(5 * back),
          count(*) FILTER (WHERE event_type = 'error') / count(*){D}
-  FROM events GROUP BY ALL
+  FROM events, range(3) b(back) GROUP BY ALL
   UNION ALL SELECT 'latency_p99_5m', window_start, v FROM p99),
 rules(rule, metric, threshold, for_seconds) AS (VALUES
   ('HighErrorRate', 'error_ratio_5m', 0.05{D}, 120), ('ElevatedErrorRate', 'error_ratio_15m', 0.01{D}, 900),
@@ -615,22 +620,54 @@ ev AS (SELECT rule, window_start, value, for_seconds,
 _o("ts_alert_threshold", f"""WITH {_SAMPLES}
 SELECT rule, window_start, round(value, 6) AS value, firing FROM ev""")
 
-_o("ts_alert_sustained", f"""WITH {_SAMPLES},
-f AS (SELECT *, CASE WHEN lag(window_start) OVER w IS NULL
+# a rule holds without a break while its samples, five minutes apart, all fire (every metric is sampled so)
+_ISLANDS = """
+fi AS (SELECT *, CASE WHEN lag(window_start) OVER w IS NULL
                        OR epoch(window_start) - epoch(lag(window_start) OVER w) > 300 THEN 1 ELSE 0 END AS brk
-      FROM ev WHERE firing WINDOW w AS (PARTITION BY rule ORDER BY window_start)),
-i AS (SELECT *, sum(brk) OVER (PARTITION BY rule ORDER BY window_start ROWS UNBOUNDED PRECEDING) AS island FROM f),
-s AS (SELECT rule, island, any_value(for_seconds) AS for_seconds, min(window_start) AS island_start,
-             max(window_start) AS island_last, count(*) AS samples FROM i GROUP BY rule, island)
+      FROM sampled WHERE firing WINDOW w AS (PARTITION BY rule ORDER BY window_start)),
+is_ AS (SELECT *, sum(brk) OVER (PARTITION BY rule ORDER BY window_start ROWS UNBOUNDED PRECEDING) AS island FROM fi),
+so AS (SELECT rule, island, any_value(for_seconds) AS for_seconds, min(window_start) AS island_start,
+             max(window_start) AS island_last, count(*) AS samples FROM is_ GROUP BY rule, island)
 SELECT rule, island_start, island_last, samples,
        CAST(epoch(island_last) - epoch(island_start) AS BIGINT) AS duration_seconds,
        island_start + to_seconds(for_seconds) AS active_from
-FROM s WHERE CAST(epoch(island_last) - epoch(island_start) AS BIGINT) >= for_seconds""")
-
-_o("ts_gauge_snapshot", f"""WITH {OB},
-m AS (SELECT status, date_trunc('month', created_at) AS month, count(*) AS created FROM ob GROUP BY ALL)
-SELECT status, month, created,
-       sum(created) OVER (PARTITION BY status ORDER BY month ROWS UNBOUNDED PRECEDING) AS cumulative FROM m""")
+FROM so WHERE CAST(epoch(island_last) - epoch(island_start) AS BIGINT) >= for_seconds"""
+
+_o("ts_alert_sustained", f"""WITH {_SAMPLES}, sampled AS (SELECT * FROM ev),{_ISLANDS}""")
+
+_o("ts_alert_backlog", f"""WITH {SCORES}, {_H},
+iv(metric, a, b) AS (
+  SELECT 'failed_records_pending', created_at, CAST(NULL AS TIMESTAMP) FROM held
+  UNION ALL SELECT 'schema_violations_recent', created_at, created_at + INTERVAL 1 HOUR + INTERVAL 1 MICROSECOND FROM vheld
+  UNION ALL SELECT 'outbox_pending', ingested_at, NULL FROM asm),
+ch AS (
+  SELECT metric, CAST(ceil(epoch_us(a) / 300000000) AS BIGINT) AS k, 1 AS d FROM iv
+  UNION ALL SELECT metric, CAST(ceil(epoch_us(b) / 300000000) AS BIGINT), -1 FROM iv WHERE b IS NOT NULL),
+gr AS (SELECT metric, unnest(range(min(k), max(k) + 1)) AS k, 0 AS d FROM ch GROUP BY metric),
+al AS (SELECT metric, k, sum(d) AS d FROM (FROM ch UNION ALL FROM gr) GROUP BY metric, k),
+samples AS (
+  SELECT metric, make_timestamp(k * 300000000) AS window_start,
+         CAST(sum(d) OVER (PARTITION BY metric ORDER BY k ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value FROM al
+  UNION ALL SELECT 'failure_ratio_5m', make_timestamp(epoch_us(received_at) // 300000000 * 300000000),
+         count(*) FILTER (stage <> 'ok') / count(*){D} FROM gk GROUP BY ALL),
+rules(rule, metric, threshold, for_seconds) AS (VALUES
+  ('HighFailureRate', 'failure_ratio_5m', 0.1{D}, 300), ('FailedRecordsPending', 'failed_records_pending', 10.0{D}, 600),
+  ('FailedRecordsCritical', 'failed_records_pending', 50.0{D}, 300),
+  ('SchemaViolations', 'schema_violations_recent', 5.0{D}, 600),
+  ('OutboxBacklogGrowing', 'outbox_pending', 100.0{D}, 300), ('OutboxBacklogCritical', 'outbox_pending', 1000.0{D}, 120)),
+sampled AS (SELECT *, value > threshold AS firing FROM rules JOIN samples USING (metric)),{_ISLANDS}""")
+
+_o("ts_gauge_snapshot", """WITH sh AS (SELECT l_orderkey, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
+iv AS (
+  SELECT o_orderpriority AS priority, o_orderdate AS a, CASE WHEN o_orderstatus = 'F' THEN shipped END AS b
+  FROM orders LEFT JOIN sh ON l_orderkey = o_orderkey),
+ch AS (
+  SELECT priority, CAST(ceil(epoch(CAST(a AS TIMESTAMP)) / 86400) AS BIGINT) AS k, 1 AS d FROM iv WHERE b IS NULL OR b > a
+  UNION ALL SELECT priority, CAST(ceil(epoch(CAST(b AS TIMESTAMP)) / 86400) AS BIGINT), -1 FROM iv WHERE b > a),
+gr AS (SELECT priority, unnest(range(min(k), max(k) + 1)) AS k, 0 AS d FROM ch GROUP BY priority),
+al AS (SELECT priority, k, sum(d) AS d FROM (FROM ch UNION ALL FROM gr) GROUP BY priority, k)
+SELECT priority, make_timestamp(k * 86400000000) AS at,
+       CAST(sum(d) OVER (PARTITION BY priority ORDER BY k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS open FROM al""")
 
 _FANOUT = """fo AS (
   SELECT o_orderkey AS assessment_id, s.sink_name,
@@ -762,11 +799,22 @@ SELECT assessment_id, CAST(n_scores AS INTEGER) AS n_scores, provider AS source_
 _o("sink_json", f"""WITH {SCORES}
 SELECT assessment_id, {hmac('pid')} AS patient_id, assessment_type, CAST(n_scores AS INTEGER) AS n_scores FROM asm""")
 
-_o("stream_outbox", f"""WITH {SCORES}
+_o("stream_outbox", f"""WITH {SCORES},
+r AS (SELECT substr(assessment_id, 1, 1) < '8' AS taken FROM asm)
 SELECT 'assessments' AS table_name, provider AS key, count(*) AS n FROM asm GROUP BY provider
 UNION ALL SELECT 'normalization_audit_log', 'all', count(*) FROM asm
-UNION ALL SELECT 'legacy_deliveries', 'all', count(*) FROM asm WHERE provider = 'provider_c'
-UNION ALL SELECT 'quarantine', 'all', count(*) FROM pb WHERE event_id % 10 = 0""")
+UNION ALL SELECT 'outbox', CASE WHEN taken THEN 'flushed' ELSE 'pending' END, count(*) FROM r GROUP BY taken
+UNION ALL SELECT 'legacy_deliveries', 'all', count(*) FROM asm
+UNION ALL SELECT 'legacy_results', CASE WHEN taken THEN '1 true' ELSE '1 false' END, count(*) FROM r GROUP BY taken
+UNION ALL SELECT 'legacy_results', '2 false', count(*) FROM r WHERE NOT taken HAVING count(*) > 0
+UNION ALL SELECT 'quarantine', 'all', count(*) FROM pb""")
+
+_o("stream_assessments", f"""WITH {SCORES},
+s AS (SELECT assessment_id, unnest([ingested_at, ingested_at + INTERVAL 11 MINUTE]) AS sent FROM asm)
+SELECT 'ids' AS table_name, '2' AS key, count(*) AS n FROM asm
+UNION ALL SELECT 'forwarded', strftime(sent, '%Y-%m-%d'), count(*) FROM s GROUP BY ALL
+UNION ALL SELECT 'quarantine', 'leg', count(*) FROM asm
+UNION ALL SELECT 'quarantine', 'poi', count(*) FROM pb""")
 
 ORACLES["stream_errors"] = ORACLES["sink_errors"]
 
@@ -777,11 +825,6 @@ ORACLES["q_provider_enabled"] = ORACLES["j_enabled"]
 ORACLES["sink_fanout"] = ORACLES["j_fanout"]
 ORACLES["agg_purge_report"] = ORACLES["purge"]
 
-# what the store holds of the failures: one per input and provider, the first
-_H = f"""{_F},
-held AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY provider, input_hash ORDER BY created_at, id) = 1),
-vheld AS (SELECT * FROM vr QUALIFY row_number() OVER (PARTITION BY boundary, provider, input_hash ORDER BY created_at, id) = 1)"""
-
 _o("q_newest_failed", f"""WITH {GATE}, {_H}
 SELECT id, provider, created_at FROM held WHERE error_kind = 'parse' ORDER BY created_at DESC, id LIMIT 50""")
 

@@ -2,10 +2,10 @@
 
 Layout under ``root`` (a shared folder, e.g. under ``spark.checkpoint.dir``)::
 
-    <table>/writer=<w>/batch_id=<n>/run=<r>/[_day=<d>/]part-*.parquet    rows that batch n of writer w added
-    _erased/<table>/writer=<w>/batch_id=<n>/run=<r>/part-*.parquet       (path, row) of rows that a batch replaced
-    _log/writer=<w>/batch_id=<n>/part-*.parquet                          one file: what the batch did, written last
-    _schemas/<table>                                                     the table's schema as JSON
+    <table>/writer=<w>/batch_id=<n>/run=<r>/part-*.parquet            rows that batch n of writer w added
+    _erased/<table>/writer=<w>/batch_id=<n>/run=<r>/part-*.parquet    (path, row) of rows that a batch replaced
+    _log/writer=<w>/batch_id=<n>/part-*.parquet                       one file: what the batch did, written last
+    _schemas/<table>                                                  the table's schema as JSON
 
 Files are never changed. A batch becomes visible by its log file, which lists the files
 it added with what they may hold (:mod:`assaykit.plans.fileindex`), the files it took
@@ -95,6 +95,8 @@ class TableStore:
         self.writer = writer
         self._folders: dict[str, str] = {}
         self._done: list[DataFrame] = []
+        self._held: list[DataFrame] = []
+        self._schemas: dict[str, StructType] = {}
 
     def as_writer(self, writer: str) -> TableStore:
         """The same store, written under another writer's name."""
@@ -141,13 +143,16 @@ class TableStore:
         return live
 
     def _schema(self, table: str) -> StructType | None:
+        if table in self._schemas:      # it never changes
+            return self._schemas[table]
         try:
             kept = self.spark.read.text(self.path(f"{SCHEMAS}/{table}"), wholetext=True).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return StructType.fromJson(json.loads(kept[0]))
+        self._schemas[table] = StructType.fromJson(json.loads(kept[0]))
+        return self._schemas[table]
 
     # -- reading -------------------------------------------------------------
     def read_files(self, table: str, paths: Iterable[str], version: int | None = None,
@@ -209,6 +214,11 @@ class TableStore:
                 return rows
             need = 2 * have
 
+    def batch_rows(self, table: str, batch_id: int) -> DataFrame:
+        """The rows that a stored batch of this writer has put into a table."""
+        own = (F.col(WRITER) == self.writer) & (F.col(PART) == batch_id) & (F.col("tbl") == table) & (F.col("kind") == "rows")
+        return self.read_files(table, [r[0] for r in self.log().filter(own).select("path").distinct().collect()])
+
     def own_batch(self, table: str) -> DataFrame:
         """The rows that the batch being written has put into a table (not visible to readers yet)."""
         return self.spark.read.schema(self._schema(table)).parquet(self._folders[table]).select(*self._schema(table).names)
@@ -232,7 +242,9 @@ class TableStore:
         batch = first_wins(rows, keys, order)
         if self._schema(table) is None:
             return batch
-        batch = batch.withColumn("_key", X.row_key(keys))
+        # read for the lookup, the layout and the write
+        batch = batch.withColumn("_key", X.row_key(keys)).persist()
+        self._held.append(batch)
         paths = self.holding(table, batch.select(X.key_hash(F.col("_key"))))
         if not paths:
             return batch.drop("_key")
@@ -247,12 +259,9 @@ class TableStore:
         folder = self._folder(table, batch_id)
         keys, facets = LOOKUP.get(table, []), FACETS.get(table, [])
         names = df.columns
-        if TIME in names:
-            df = df.withColumn("_day", F.date_format(TIME, "yyyy-MM-dd"))
-            if keys:
-                df = df.repartitionByRange("_day", *facets[:1], X.key_hash(X.row_key(keys)))
-        writer = df.write.option("maxRecordsPerFile", FILE_ROWS)
-        (writer.partitionBy("_day") if TIME in names else writer).parquet(folder)
+        if TIME in names and keys:
+            df = df.repartitionByRange(F.to_date(TIME), *facets[:1], X.key_hash(X.row_key(keys)))
+        df.write.option("maxRecordsPerFile", FILE_ROWS).parquet(folder)
         self._folders[table] = folder
         written = self.spark.read.schema(self._schema(table)).parquet(folder)
         self._done.append(X.summaries(
@@ -287,11 +296,16 @@ class TableStore:
                              for f in schema], F.lit(self.writer).alias(WRITER), F.lit(batch_id).alias(PART))
         (done.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(WRITER, PART).parquet(self.path(LOG)))
-        self._done, self._folders = [], {}
+        self._release()
+
+    def _release(self) -> None:
+        for held in self._held:
+            held.unpersist()
+        self._done, self._folders, self._held = [], {}, []
 
     def begin(self, batch_id: int) -> bool:
         """False if the batch is already stored; forgets what a failed attempt noted."""
-        self._done, self._folders = [], {}
+        self._release()
         return not self.committed(batch_id)
 
     def _write_assessments(self, rows: DataFrame, batch_id: int) -> None:
@@ -342,6 +356,13 @@ class TableStore:
             self._write_errors(failed, violations, batch_id)
             self._commit(batch_id)
 
+    def write_plain_batch(self, tables: dict[str, DataFrame], batch_id: int) -> None:
+        """Append rows to several plain tables under one commit."""
+        if self.begin(batch_id):
+            for table, rows in tables.items():
+                self._write(table, rows, batch_id)
+            self._commit(batch_id)
+
     def write_table_batch(self, table: str, rows: DataFrame, batch_id: int) -> None:
         """Append a batch to one table: a keyed one takes absent keys only, a plain one (e.g. a quarantine) all rows."""
         if self.begin(batch_id):
@@ -384,8 +405,10 @@ class TableStore:
     def outbox_current(self, version: int | None = None) -> DataFrame | None:
         """Outbox rows with their latest state (``max_by`` over state versions)."""
         base = self.read("outbox", version)
-        if base is None:
-            return None
+        return None if base is None else self.with_states(base, version)
+
+    def with_states(self, base: DataFrame, version: int | None = None) -> DataFrame:
+        """Some outbox rows with their latest state."""
         events = self.read("outbox_state", version)
         if events is None:
             return base
