@@ -21,29 +21,31 @@ from assaykit.schemas import (
     PROVIDER_FORMATS, SCALE_PRESETS, SCHEMA_VERSION, SCORE_PREFIX, TARGET_SCALE,
 )
 
-# CSV cell splitting: a comma not inside double quotes
-CSV_SPLIT_RE = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# One CSV field. A quote is special at the start of a field only; then "" stands for a quote, commas and line ends are
+# text, and what follows the closing quote up to the next comma is kept as it is. A quote that never closes takes the rest.
+CSV_FIELD_RE = '(?:"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+|\\z)|(?!")[^,\r\n]*+)'
+CSV_RECORD_RE = f"{CSV_FIELD_RE}(?:,{CSV_FIELD_RE})*+"
+CSV_QUOTED_RE = '(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
 
 
-def _unquote(x: str) -> str:
-    return (f"CASE WHEN {x} rlike '^\".*\"$' THEN replace(substr({x}, 2, length({x}) - 2), '\"\"', '\"') "
-            f"ELSE {x} END")
-
-
-def _cells(line: str) -> str:
-    """Cells of one CSV line; the quote-aware split only runs on lines with a quote."""
-    return (f"CASE WHEN instr({line}, '\"') = 0 THEN split({line}, ',') "
-            f"ELSE transform(split({line}, '{CSV_SPLIT_RE}'), c -> {_unquote('c')}) END")
+def _cells(record: str) -> str:
+    """Cells of one CSV record; the quote-aware way only runs on records with a quote."""
+    quoted = (f"concat(replace(regexp_extract(c, {sql_str(CSV_QUOTED_RE)}, 1), '\"\"', '\"'), "
+              f"regexp_extract(c, {sql_str(CSV_QUOTED_RE)}, 2))")
+    return (f"CASE WHEN instr({record}, '\"') = 0 THEN split({record}, ',') "
+            f"ELSE transform(regexp_extract_all({record}, {sql_str(f'(?:^|,)({CSV_FIELD_RE})')}, 1), "
+            f"c -> CASE WHEN startswith(c, '\"') THEN {quoted} ELSE c END) END")
 
 
 def csv_columns() -> dict[str, Column]:
     """Parse a CSV payload (header by name) into ``csv_header`` / ``csv_rows``.
 
-    Blank lines are skipped and CR-LF accepted. Cells keep their spaces. A
-    line with an odd number of quotes (a quoted newline) is flagged in
-    ``csv_odd_quotes`` and fails the payload's typed parse.
+    Records end at a line feed, a carriage return or both, outside of quoted
+    fields; blank ones are skipped. Cells keep their spaces. Every step is
+    linear in the payload.
     """
-    lines = ("filter(transform(split(raw, '\\n'), l -> regexp_replace(l, '\\r$', '')), l -> l != '')")
+    lines = ("filter(CASE WHEN instr(raw, '\"') = 0 THEN split(raw, '[\\r\\n]') "
+             f"ELSE regexp_extract_all(raw, {sql_str(CSV_RECORD_RE)}, 0) END, l -> l != '')")
     cells = _cells("l")
     header = _cells("element_at(csv_lines, 1)")
 
@@ -65,7 +67,6 @@ def csv_columns() -> dict[str, Column]:
     return {
         "csv_lines": F.expr(f"CASE WHEN provider = 'provider_c' THEN {lines} END"),
         "csv_header": F.expr(f"CASE WHEN size(csv_lines) > 0 THEN {header} ELSE array() END"),
-        "csv_odd_quotes": F.expr("exists(csv_lines, l -> size(split(l, '\"')) % 2 = 0)"),
         "csv_raw_rows": F.expr(rows),
         "csv_rows": F.expr(typed),
     }
@@ -105,20 +106,42 @@ def norm_b() -> str:
             "'scores', bsc))")
 
 
+def c_sorted() -> str:
+    """The CSV rows in the order of their group and line."""
+    return ("array_sort(transform(csv_rows, r -> named_struct('patient_id', r.patient_id, 'assessment_date', "
+            "r.assessment_date, 'category', r.category, 'line_no', r.line_no, 'metric_name', r.metric_name, "
+            "'metric_value_text', r.metric_value_text)))")
+
+
+def c_starts() -> str:
+    """1-based places in the sorted rows at which a group (patient, raw date text, category) begins, and the end."""
+    def differs(field: str) -> str:
+        return f"NOT (element_at(csv_sorted, i).{field} <=> element_at(csv_sorted, i - 1).{field})"
+
+    begins = "i = 1 OR " + " OR ".join(differs(f) for f in ("patient_id", "assessment_date", "category"))
+    return (f"CASE WHEN size(csv_sorted) > 0 THEN concat(filter(sequence(1, size(csv_sorted)), i -> {begins}), "
+            "array(size(csv_sorted) + 1)) END")
+
+
 def c_group_keys() -> str:
-    return ("array_sort(array_distinct(transform(csv_rows, r -> named_struct("
-            "'patient_id', r.patient_id, 'assessment_date', r.assessment_date, 'category', r.category))))")
+    return ("CASE WHEN csv_starts IS NULL THEN filter(transform(csv_sorted, r -> named_struct('patient_id', "
+            "r.patient_id, 'assessment_date', r.assessment_date, 'category', r.category)), x -> false) "
+            "ELSE transform(slice(csv_starts, 1, size(csv_starts) - 1), i -> named_struct("
+            "'patient_id', element_at(csv_sorted, i).patient_id, "
+            "'assessment_date', element_at(csv_sorted, i).assessment_date, "
+            "'category', element_at(csv_sorted, i).category)) END")
 
 
 def norm_c() -> str:
     """CSV rows grouped by (patient, raw date text, category); x10; date at 00:00 UTC.
 
-    Scores keep line order; groups come out sorted by their key.
+    The rows are sorted by group once and cut where a group begins. Scores keep
+    line order; groups come out sorted by their key.
     """
-    members = ("filter(csv_rows, r -> r.patient_id = k.patient_id AND r.assessment_date = k.assessment_date "
-               "AND r.category = k.category)")
+    members = ("slice(csv_sorted, element_at(csv_starts, j + 1), "
+               "element_at(csv_starts, j + 2) - element_at(csv_starts, j + 1))")
     scores = f"transform({members}, r -> {_score('r.metric_name', 'cast(r.metric_value_text AS double) * 10.0D')})"
-    return (f"transform(csv_keys, k -> named_struct("
+    return (f"transform(csv_keys, (k, j) -> named_struct("
             "'patient_id', k.patient_id, "
             "'assessment_date', to_timestamp_ntz(k.assessment_date, 'yyyy-M-d'), "
             "'assessment_type', k.category, "

@@ -123,8 +123,9 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
         "deep_ok": F.expr(_case_provider(
             {PROVIDER_A: V.deep_a(), PROVIDER_B: V.deep_b(), PROVIDER_C: V.deep_c()}, "false")),
         "b_has_numeric": F.expr(f"CASE WHEN provider = '{PROVIDER_B}' THEN coalesce(size(bsc) > 0, false) ELSE true END"),
-        "csv_keys": F.expr(f"CASE WHEN provider = '{PROVIDER_C}' THEN {N.c_group_keys()} END"),
+        "csv_sorted": F.expr(f"CASE WHEN provider = '{PROVIDER_C}' THEN {N.c_sorted()} END"),
     })
+    df = _with_each(df, {"csv_starts": F.expr(N.c_starts()), "csv_keys": F.expr(N.c_group_keys())})
     reached_norm = "known AND size(pre) = 0 AND deep_ok AND b_has_numeric"
     df = df.withColumn("norm_ok", F.expr(
         f"CASE WHEN {reached_norm} THEN "
