@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +50,11 @@ class Known(dict):
         self.coder, self.fresh, self.other = coder, [], {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.coder.encode_segment(segment)
-        decoded = self.coder.decode(ids, False)
-        if decoded != segment.replace(MARK, " "):
+        ids, spelled = self.coder.encode_segment(segment)
+        # pieces alone join to the segment they were cut from; only byte pieces can decode to something else
+        if spelled and (decoded := self.coder.decode(ids, False)) != segment.replace(MARK, " "):
             self.other[segment] = decoded
-        self[segment] = packed = np.array(ids, np.int32).tobytes()
+        self[segment] = packed = array("i", ids).tobytes()
         self.fresh.append(segment)
         return packed
 
@@ -78,7 +80,7 @@ class PieceCoder:
             raise ValueError("a model with identity normalization and a word mark in front is needed")
         if any(re.search(f"\n|[^{MARK}]{MARK}|{LETTER}{STOP}", self.text[i]) for i in plain):
             raise ValueError("a model whose pieces span no word or line end is needed")
-        self.score = {self.text[i]: lib.get_score(i) for i in plain}
+        self.score = {self.text[i]: -lib.get_score(i) for i in plain}       # least first
         self.id_of = {self.text[i]: i for i in plain}
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.find = re.compile(f"{MARK}*{LETTER}+(?={STOP})|{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+").findall
@@ -87,34 +89,36 @@ class PieceCoder:
     def segments(self, text: str) -> list[str]:
         return self.find(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode_segment(self, segment: str) -> tuple[int, ...]:
-        """Ids of one segment by the score-ordered agenda."""
-        whole, n = self.score, len(segment)
-        symbol: list[str | None] = list(segment)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-s, i, 2) for i in range(n - 1) if (s := whole.get(segment[i:i + 2])) is not None]
-        heapify(agenda)
+    def encode_segment(self, segment: str) -> tuple[list[int], bool]:
+        """Ids of one segment by the score-ordered agenda, and whether byte pieces are among them."""
+        score, n = self.score.get, len(segment)
+        symbol: list[str] = list(segment)
+        agenda = [(s, i, 2) for i, s in enumerate(map(score, map(add, symbol, symbol[1:]))) if s is not None]
+        if agenda:
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+            heapify(agenda)
         while agenda:
             _, i, size = heappop(agenda)
-            j = after[i]
-            if symbol[i] is None or j >= n or len(symbol[i]) + len(symbol[j]) != size:
+            left, j = symbol[i], after[i]
+            if not left or j >= n or len(left) + len(symbol[j]) != size:
                 continue                            # a neighbour has been merged since
-            merged = symbol[i] = symbol[i] + symbol[j]
-            symbol[j] = None
+            merged = symbol[i] = left + symbol[j]
+            symbol[j] = ""
             h, k = before[i], after[j]
             after[i] = k
             if k < n:
                 before[k] = i
-                if (s := whole.get(both := merged + symbol[k])) is not None:
-                    heappush(agenda, (-s, i, len(both)))
-            if h >= 0 and (s := whole.get(both := symbol[h] + merged)) is not None:
-                heappush(agenda, (-s, h, len(both)))
-        ids: list[int] = []
-        for s in symbol:
-            if s is not None:
-                i = self.id_of.get(s)
-                ids += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
-        return tuple(ids)
+                if (s := score(merged + symbol[k])) is not None:
+                    heappush(agenda, (s, i, size + len(symbol[k])))
+            if h >= 0 and (s := score(symbol[h] + merged)) is not None:
+                heappush(agenda, (s, h, size + len(symbol[h])))
+        ids = [*map(self.id_of.get, filter(None, symbol))]
+        if None not in ids:
+            return ids, False
+        out: list[int] = []
+        for s, i in zip(filter(None, symbol), ids):
+            out += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
+        return out, True
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids as 32-bit bytes, decoded text) of each text; new segments are compared with the library in one call."""
