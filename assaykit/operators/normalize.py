@@ -166,9 +166,9 @@ def metadata(provider: Column, ingested_at: Column) -> Column:
                     ingested_at.alias("ingested_at"), F.lit(SCHEMA_VERSION).alias("version"))
 
 
-def source_format(provider: Column) -> Column:
+def source_format(provider: Column, formats: dict[str, str] = PROVIDER_FORMATS) -> Column:
     out = F.lit(None).cast("string")
-    for name, f in PROVIDER_FORMATS.items():
+    for name, f in formats.items():
         out = F.when(provider == name, F.lit(f)).otherwise(out)
     return out
 

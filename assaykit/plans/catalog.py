@@ -255,6 +255,38 @@ def norm_declarative(spark, sf):
         _r(F.col("s.value")).alias("value"))
 
 
+def read_lines(raw: str) -> list[dict]:
+    """One assessment from ``key=value`` lines: patient, kind, and a number for any other key."""
+    cells = dict(line.split("=", 1) for line in raw.split("\n"))
+    return [{"patient_id": cells.pop("patient"), "assessment_type": cells.pop("kind"),
+             "scores": [{"dimension": k, "value": float(v)} for k, v in cells.items()]}]
+
+
+@query("norm_registered")
+def norm_registered(spark, sf):
+    """Two declared providers (JSON by paths, lines by a Python reader) through the gate, the scrub and the sinks."""
+    from assaykit.operators.providers import json_provider, python_provider
+    e = _events(spark, sf)
+    number = F.floor(F.round(F.col("value") * 100) / 100).cast("string")
+    user, kind, k = F.col("user_id").cast("string"), F.col("event_type"), F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{"subject": {"ref": "U'), user, F.lit('"}, "kind": "'), kind, F.lit('", "metrics": {"k": '), k,
+                    F.lit(', "v": '), number, F.when(F.col("event_id") % 23 == 0, "}").otherwise("}}"))
+    lines = F.concat(F.lit("patient=U"), user, F.lit("\nkind="), kind, F.lit("\nv="),
+                     F.when(F.col("event_id") % 29 == 0, "n/a").otherwise(number))
+    payloads = functools.reduce(DataFrame.unionByName, [
+        e.select(F.concat(F.lit(f"{p[-1]}-"), F.col("event_id").cast("string")).alias("payload_id"),
+                 F.lit(p).alias("provider"), raw.alias("raw"), F.col("ts").alias("received_at"))
+        for p, raw in (("provider_d", text), ("provider_e", lines))])
+    config = P.GateConfig(STRICT, declared=(json_provider(DECLARED), python_provider("provider_e", "lines", read_lines)))
+    store = _store(spark, "registered")
+    store.write_gate_batch(P.run_gate(payloads, config), 0)
+    a = store.read("assessments").select("source_provider", "source_format", F.explode("scores").alias("s"))
+    a = a.groupBy(F.col("source_provider").alias("provider"), F.col("source_format").alias("key"),
+                  F.col("s.dimension").alias("dimension")).agg(F.count("*").alias("n"), _r(F.sum("s.value"), 3).alias("total"))
+    f = store.read("failed_records").groupBy("provider", F.col("error_kind").alias("key")).agg(F.count("*").alias("n"))
+    return a.unionByName(f, allowMissingColumns=True)
+
+
 @query("stamp_metadata")
 def stamp_metadata(spark, sf):
     a = P.assessment_rows(_gate(spark, sf))

@@ -328,6 +328,17 @@ SELECT 'd-' || {E}, 'U' || {UID}, event_type, 'v',
        round(0.0{D} + (least(greatest(CAST(floor(round(value * 100) / 100) AS BIGINT){D}, 0.0{D}), 100.0{D}) - 0.0{D})
              / 100.0{D} * 100.0{D}, 6) FROM ev""")
 
+_o("norm_registered", f"""WITH {EV},
+x AS (SELECT *, CAST(floor(round(value * 100) / 100) AS BIGINT) AS v FROM ev)
+SELECT 'provider_d' AS provider, 'declared_json' AS key, dimension, count(*) AS n,
+       round(sum(least(greatest(score, 0.0{D}), 100.0{D})), 3) AS total
+FROM (SELECT unnest(['k', 'v']) AS dimension, unnest([k{D}, v{D}]) AS score FROM x WHERE event_id % 23 <> 0) GROUP BY dimension
+UNION ALL SELECT 'provider_e', 'lines', 'v', count(*), round(sum(v{D}), 3) FROM x WHERE event_id % 29 <> 0 AND v <= 100
+UNION ALL SELECT 'provider_d', 'validation', NULL, count(DISTINCT (user_id, event_type, k, v)), NULL FROM x WHERE event_id % 23 = 0
+UNION ALL SELECT 'provider_e', 'parse', NULL, count(DISTINCT (user_id, event_type)), NULL FROM x WHERE event_id % 29 = 0
+UNION ALL SELECT 'provider_e', 'validation', NULL, count(DISTINCT (user_id, event_type, v)), NULL
+FROM x WHERE event_id % 29 <> 0 AND v > 100""")
+
 _o("stamp_metadata", f"""WITH {SCORES}
 SELECT assessment_id, provider AS source_provider, source_format, '1.0' AS version, ingested_at FROM asm""")
 

@@ -25,6 +25,7 @@ from assaykit.functions.times import now_utc, utc_ntz
 from assaykit.functions.jsonx import strict_from_wrappers_sql, strict_wrappers_sql
 from assaykit.operators import normalize as N
 from assaykit.operators import validate as V
+from assaykit.operators.providers import Provider, with_text
 from assaykit.schemas import (
     BOUNDARY_POST, BOUNDARY_PRE, KIND_PARSE, KIND_UNKNOWN_PROVIDER, KIND_VALIDATION,
     OUTBOX_PENDING, PROVIDER_A, PROVIDER_B, PROVIDER_C, PROVIDER_FORMATS, SCHEMA_VERSION,
@@ -40,11 +41,15 @@ TS_NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"   # NTZ values are UTC wall cl
 class GateConfig:
     policy: pii.PiiPolicy = pii.STRICT
     enabled: tuple[str, ...] = ()          # empty = every known provider
+    declared: tuple[Provider, ...] = ()    # beside the built-in ones
+
+    @property
+    def formats(self) -> dict[str, str]:
+        return PROVIDER_FORMATS | {p.name: p.format for p in self.declared}
 
     @property
     def providers(self) -> list[str]:
-        known = list(PROVIDER_FORMATS)
-        return [p for p in known if not self.enabled or p in self.enabled]
+        return [p for p in self.formats if not self.enabled or p in self.enabled]
 
 
 GATE_PARTITIONS_CONF = "spark.assaykit.gate.partitions"
@@ -90,15 +95,16 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
     if only is not None:
         payloads = payloads.filter(only)
     received = utc_ntz(F.col("received_at"), payloads.schema["received_at"].dataType)
-    df = spread(payloads).select(
-        *carry, "payload_id", "provider", "raw", received.alias("received_at"),
+    declared = config.declared
+    df = with_text(spread(payloads), declared).select(
+        *carry, "payload_id", "provider", "raw", "_text", received.alias("received_at"),
         F.coalesce(received, now_utc()).alias("ingested_at"),
         known.alias("known"),
     )
     # one strict parse per JSON payload, reused by every later stage; the two
     # wrapper parses are columns of their own so each runs once per row
-    w1, w2 = strict_wrappers_sql("raw")
-    is_json = f"provider IN ('{PROVIDER_A}', '{PROVIDER_B}')"
+    w1, w2 = strict_wrappers_sql("_text")
+    is_json = "provider IN (" + ", ".join(f"'{p}'" for p in (PROVIDER_A, PROVIDER_B, *(d.name for d in declared))) + ")"
     df = _with_each(df, {"_w1": F.expr(f"CASE WHEN {is_json} THEN {w1} END"),
                          "_w2": F.expr(f"CASE WHEN {is_json} THEN {w2} END")})
     df = df.withColumn("v", F.expr(strict_from_wrappers_sql("_w1", "_w2")))
@@ -118,10 +124,12 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
         df = df.withColumn(name, col)
     df = df.withColumn("pre", F.expr(
         "CASE WHEN known THEN " + _case_provider(
-            {PROVIDER_A: V.pre_a(), PROVIDER_B: V.pre_b(), PROVIDER_C: V.pre_c()}) + " END"))
+            {PROVIDER_A: V.pre_a(), PROVIDER_B: V.pre_b(), PROVIDER_C: V.pre_c(), **{d.name: d.pre for d in declared}})
+        + " END"))
     df = _with_each(df, {
         "deep_ok": F.expr(_case_provider(
-            {PROVIDER_A: V.deep_a(), PROVIDER_B: V.deep_b(), PROVIDER_C: V.deep_c()}, "false")),
+            {PROVIDER_A: V.deep_a(), PROVIDER_B: V.deep_b(), PROVIDER_C: V.deep_c(),
+             **{d.name: d.deep for d in declared}}, "false")),
         "b_has_numeric": F.expr(f"CASE WHEN provider = '{PROVIDER_B}' THEN coalesce(size(bsc) > 0, false) ELSE true END"),
         "csv_sorted": F.expr(f"CASE WHEN provider = '{PROVIDER_C}' THEN {N.c_sorted()} END"),
     })
@@ -132,7 +140,8 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
         + _case_provider({PROVIDER_C: N.norm_c_ok()}, "true") + " ELSE false END"))
     df = df.withColumn("assessments", F.expr(
         f"CASE WHEN {reached_norm} AND norm_ok THEN "
-        + _case_provider({PROVIDER_A: N.norm_a(), PROVIDER_B: N.norm_b(), PROVIDER_C: N.norm_c()}) + " END"))
+        + _case_provider({PROVIDER_A: N.norm_a(), PROVIDER_B: N.norm_b(), PROVIDER_C: N.norm_c(),
+                            **{d.name: d.normalize for d in declared}}) + " END"))
     df = df.withColumn("post", F.expr(f"CASE WHEN assessments IS NOT NULL THEN {V.post()} END"))
     # The output re-check tests a subset of the post-transform conditions
     # (empty ids, empty scores, range, empty dimension), so after a clean
@@ -167,7 +176,7 @@ def run_gate(payloads: DataFrame, config: GateConfig = GateConfig(), carry: tupl
     df = _audit_steps(df, config.policy)
     df = _scrub(df, config.policy)
     return df.select(
-        *carry, "payload_id", "provider", N.source_format(F.col("provider")).alias("source_format"),
+        *carry, "payload_id", "provider", N.source_format(F.col("provider"), config.formats).alias("source_format"),
         "raw", "received_at", "ingested_at", "input_hash", "input_size_bytes", "stage",
         "error_kind", "error_message", "field_errors",
         F.coalesce("pre", F.expr("filter(array(named_struct('field', '', 'expected', '', 'actual', '', "
@@ -251,6 +260,14 @@ def _scrub(df: DataFrame, policy: pii.PiiPolicy) -> DataFrame:
 # Tables derived from the gate (narrow projections, no shuffle)
 # ---------------------------------------------------------------------------
 
+def stored_raw(policy: pii.PiiPolicy) -> Column:
+    """What is stored of a failed payload: scrubbed whole, or kept with its provider's field rules applied."""
+    if not policy.stores_raw or not policy.provider_fields:
+        return pii.raw_input_for_storage(F.col("raw"), policy)
+    return F.expr(_case_provider({p: pii.scrub_fields_sql("raw", list(rules), policy.hash_salt)
+                                  for p, rules in policy.provider_fields.items()}, "raw"))
+
+
 def assessment_rows(gate: DataFrame) -> DataFrame:
     """One row per unified assessment of a successful payload.
 
@@ -324,7 +341,7 @@ def failed_rows(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataFram
                                 F.col("field_errors").alias("errors")))
     return bad.select(
         hashing.uuid_from(F.lit("failed"), F.col("input_hash"), F.col("provider")).alias("id"),
-        "provider", pii.raw_input_for_storage(F.col("raw"), policy).alias("raw_input"),
+        "provider", stored_raw(policy).alias("raw_input"),
         "error_kind", detail.alias("error_detail"), "input_hash",
         F.lit(False).alias("replayed"), F.lit(None).cast("timestamp_ntz").alias("replayed_at"),
         F.col("ingested_at").alias("created_at"), "payload_id")
@@ -343,7 +360,7 @@ def violation_rows(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataF
         hashing.uuid_from(F.lit("violation"), F.col("b.boundary"), F.col("provider"), F.col("input_hash")).alias("id"),
         F.col("b.boundary").alias("boundary"), "provider", "input_hash",
         F.col("b.violations").alias("violations"),
-        pii.raw_input_for_storage(F.col("raw"), policy).alias("raw_input"),
+        stored_raw(policy).alias("raw_input"),
         F.col("ingested_at").alias("created_at"), "payload_id")
 
 
@@ -358,7 +375,7 @@ def error_events(gate: DataFrame, policy: pii.PiiPolicy = pii.STRICT) -> DataFra
         "'actual', x.actual, 'message', x.message)))")
     return bad.select(
         "payload_id", "provider", "error_kind", F.col("input_hash").alias("raw_input_hash"),
-        pii.raw_input_for_storage(F.col("raw"), policy).alias("raw_input_ref"),
+        stored_raw(policy).alias("raw_input_ref"),
         "error_message", tagged.alias("violations"), F.col("ingested_at").alias("created_at"))
 
 
