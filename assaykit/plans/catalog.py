@@ -441,6 +441,22 @@ def pii_leak_scan(spark, sf):
         F.count_if(row_json.rlike('"U[0-9]+"')).alias("n_leaks"))
 
 
+@query("pii_leak_tables")
+def pii_leak_tables(spark, sf):
+    """Patient ids looked for in every column of all five stored tables: under the strict policy, and where plain
+    storage is allowed (there they are found)."""
+    from assaykit.operators.leaks import scan_tables
+    e = _events(spark, sf)
+    ids = e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("patient_id")).distinct()
+    plain = _store(spark, "plain")
+    plain.write_gate_batch(_gate(spark, sf, INTERNAL), 0, INTERNAL)
+    tables = ("assessments", "normalization_audit_log", "outbox", "failed_records", "schema_violations")
+    return functools.reduce(DataFrame.unionByName, [
+        scan_tables({t: store.read(t) for t in tables}, ids, "patient_id").filter(
+            (F.col("n_leaks") > 0) | (F.col("column_name") == "id")).withColumn("policy", F.lit(policy))
+        for policy, store in (("strict", _stored(spark, sf)), ("plain", plain))])
+
+
 # ---------------------------------------------------------------------------
 # Audit aggregates
 # ---------------------------------------------------------------------------
@@ -1165,6 +1181,20 @@ def scan_assessments(spark, sf):
                          F.col("o.metadata.sourceProvider").alias("source_provider"))
 
 
+@query("sink_console")
+def sink_console(spark, sf):
+    """Stored assessments sent to the console type of the sink registry by the tasks that hold them (its output goes
+    nowhere here); a name that is not enabled and a type that is not known are left out."""
+    from assaykit.operators.sinks import SinkRegistry
+    registry = SinkRegistry([{"name": "console", "sink_type": "stdout", "options": {"to": "null"}},
+                             {"name": "second", "sink_type": "stdout", "options": {"to": "null"}},
+                             {"name": "queue", "sink_type": "kafka"}], enabled=("console", "queue"))
+    a = _stored(spark, sf).read("assessments")
+    rows = a.select(F.col("id").alias("assessment_id"), P.camel_json(a).alias("assessment_json"))
+    sent = registry.deliver(J.fan_out(rows, registry.frame(spark)))
+    return sent.groupBy("sink_name", "ok", "attempts").agg(F.count("*").alias("n"))
+
+
 @query("sink_json")
 def sink_json(spark, sf):
     """Assessment JSON delivered as files (one document per line), read back."""

@@ -867,3 +867,25 @@ t AS (
 c AS (SELECT max(ts) - INTERVAL 10 DAY AS cutoff FROM events)
 SELECT table_name, count(*) FILTER (created_at < cutoff) AS removed, count(*) FILTER (created_at >= cutoff) AS kept,
   count(*) AS held_before FROM t, c GROUP BY table_name""")
+
+_o("sink_console", f"""WITH {SCORES}
+SELECT 'console' AS sink_name, true AS ok, 1 AS attempts, count(*) AS n FROM asm""")
+
+# a plain id in a stored raw input: the letter U and a user's number, nothing alphanumeric beside it
+_o("pii_leak_tables", f"""WITH {SCORES}, {_H},
+raws AS (SELECT provider, input_hash, any_value(raw) AS raw FROM gk GROUP BY ALL),
+u AS (SELECT DISTINCT 'U' || CAST(user_id AS VARCHAR) AS id FROM events),
+m AS (
+  SELECT provider, input_hash, EXISTS (FROM u WHERE list_contains(
+    regexp_split_to_array(raw, '[^A-Za-z0-9]+'), u.id)) AS leaks FROM raws),
+n AS (
+  SELECT 'assessments' AS table_name, count(*) AS n_rows FROM asm
+  UNION ALL SELECT 'normalization_audit_log', count(*) FROM asm UNION ALL SELECT 'outbox', count(*) FROM asm
+  UNION ALL SELECT 'failed_records', count(*) FROM held UNION ALL SELECT 'schema_violations', count(*) FROM vheld),
+l AS (
+  SELECT 'assessments' AS table_name, 'patient_id' AS column_name, count(*) AS n_leaks FROM asm
+  UNION ALL SELECT 'outbox', 'payload', count(*) FROM asm
+  UNION ALL SELECT 'failed_records', 'raw_input', count(*) FILTER (leaks) FROM held JOIN m USING (provider, input_hash)
+  UNION ALL SELECT 'schema_violations', 'raw_input', count(*) FILTER (leaks) FROM vheld JOIN m USING (provider, input_hash))
+SELECT p.policy, table_name, 'id' AS column_name, n_rows, 0 AS n_leaks FROM n, (VALUES ('strict'), ('plain')) p(policy)
+UNION ALL SELECT 'plain', table_name, column_name, n_rows, n_leaks FROM l JOIN n USING (table_name)""")
