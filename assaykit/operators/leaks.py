@@ -50,7 +50,7 @@ def leak_counts(df: DataFrame, identifiers: DataFrame, col: str) -> DataFrame:
     sent = [df.sparkSession.sparkContext.broadcast(ids) for ids in _shards(identifiers, col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [_automaton(ids.value) for ids in sent]
+        automata = [_automaton(ids.value) for ids in sent if ids.value]
         rows, hits = 0, [0] * len(names)
         for batch in batches:
             rows += batch.num_rows
