@@ -59,7 +59,9 @@ def leak_counts(df: DataFrame, identifiers: DataFrame, col: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([rows] * len(names), pa.int64()),
                                           pa.array(hits, pa.int64())], ["column_name", "n_rows", "n_leaks"])
 
-    counted = cells.mapInArrow(run, "column_name string, n_rows bigint, n_leaks bigint")
+    counts = "column_name string, n_rows bigint, n_leaks bigint"
+    nothing = df.sparkSession.createDataFrame([(name, 0, 0) for name in names], counts)
+    counted = cells.mapInArrow(run, counts).union(nothing)
     return counted.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_leaks").alias("n_leaks"))
 
 
