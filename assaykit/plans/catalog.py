@@ -1130,6 +1130,39 @@ def st_dedup_window(spark, sf):
     return spark.read.schema(schema).parquet(f"{root}/out").select("event_id", "ts")
 
 
+@query("ts_rate_stream")
+def ts_rate_stream(spark, sf):
+    """The 5-minute rates by event type, counted while the events arrive in time order."""
+    from assaykit.streaming.windows import start_window_counts, window_counts
+    store = _store(spark, "windows")
+    e = _events(spark, sf).select("event_id", "ts", "event_type")
+    root = _time_ordered_files(spark, e, "ts", "window-events", "event_id")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
+    start_window_counts(stream, store, f"{store.root}/ckpt", "ts", _is_error(), ["event_type"],
+                        late_after="10 days").awaitTermination()
+    return window_counts(store, ["event_type"]).select("window_start", "event_type", _r(F.col("total") / 300).alias("rate"))
+
+
+@query("ts_alert_stream")
+def ts_alert_stream(spark, sf):
+    """The rules' unbroken firing times from state and timers, while evaluated samples arrive in time order."""
+    from assaykit.streaming.windows import firing_islands
+    ev = TS.alert_threshold(_metric_samples(spark, sf), TS.rules_frame(spark)).filter("window_start IS NOT NULL")
+    ev = ev.select("rule", "window_start", "firing", "for_seconds")
+    root = _time_ordered_files(spark, ev, "window_start", "alert-samples", "rule")
+    schema = spark.read.parquet(f"{root}/in").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
+    q = (firing_islands(stream, ALERT_STEP, late_after="10 days").writeStream.format("parquet")
+         .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    best = F.max_by(F.struct("island_last", "samples", "duration_seconds", "active_from"), "samples").alias("b")
+    out = spark.read.parquet(f"{root}/out").groupBy("rule", "island_start").agg(best)
+    return out.select("rule", *[F.col(c).cast("timestamp_ntz").alias(c.split(".")[-1]) for c in (
+        "island_start", "b.island_last")], "b.samples", "b.duration_seconds",
+        F.col("b.active_from").cast("timestamp_ntz").alias("active_from"))
+
+
 @query("stream_payloads")
 def stream_payloads(spark, sf):
     """Payload files consumed as a stream (several micro-batches), gated and

@@ -889,3 +889,7 @@ l AS (
   UNION ALL SELECT 'schema_violations', 'raw_input', count(*) FILTER (leaks) FROM vheld JOIN m USING (provider, input_hash))
 SELECT p.policy, table_name, 'id' AS column_name, n_rows, 0 AS n_leaks FROM n, (VALUES ('strict'), ('plain')) p(policy)
 UNION ALL SELECT 'plain', table_name, column_name, n_rows, n_leaks FROM l JOIN n USING (table_name)""")
+
+# streams give what the batch queries give
+ORACLES["ts_rate_stream"] = ORACLES["ts_rate"]
+ORACLES["ts_alert_stream"] = ORACLES["ts_alert_sustained"]

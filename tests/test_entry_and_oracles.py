@@ -10,7 +10,9 @@ SF = "/root/testdata/sf0.001"
 FAST = ["v_gate", "read_payloads", "explode_batch", "batch_outcome", "v_post", "norm_c", "flatten_scores",
         "agg_failed_backlog", "agg_histogram_quantile", "ts_error_ratio", "ts_alert_sustained",
         "st_outbox_state", "q_stale_outbox", "pii_hmac", "j_insert_absent", "purge", "audit_row",
-        "j_mark_flushed", "agg_violations_by_boundary", "replay", "st_dedup_window", "stream_outbox",
+        "j_mark_flushed", "agg_violations_by_boundary", "replay", "st_dedup_window", "stream_outbox", "stream_assessments",
+        "replay_store", "purge_store", "q_failed", "q_newest_failed", "q_failed_by_id", "ts_gauge_snapshot",
+        "norm_registered", "pii_leak_tables",
         "stream_errors", "st_sweep", "sink_envelopes"]
 
 
