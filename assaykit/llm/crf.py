@@ -43,7 +43,9 @@ LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 #: Words predicted at once, words of a chunk in forward-backward, remembered words.
 BATCH_WORDS, CHUNK, CACHE_WORDS = 300_000, 128, 400_000
 
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Characters that count as word characters in patterns but are no letters: fractions, superscripts, Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+words_of = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
 
 
 @dataclass
@@ -245,9 +247,13 @@ class Tagger:
 
 
 def sample(docs: DataFrame, train: Column) -> list[tuple[str, str]]:
-    """(label, text) of the bounded training sample; what goes to the driver is bounded by the two parameters and the labels."""
-    rows = docs.filter(train & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select(
-        "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_BUCKETS)).alias("bucket"),
+    """(label, text) of the bounded training sample; what goes to the driver is bounded by the two parameters and the labels.
+
+    Any labelled row can be chosen, by the hash of its id; of a chosen text the first ``SAMPLE_CHARS`` characters are
+    learned from. Predictions read whole texts.
+    """
+    rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_BUCKETS)).alias("bucket"),
         F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
     chosen = written(rows.groupBy("lang", "bucket").agg(F.min("h").alias("h")), "language-sample")
     found = rows.join(chosen, ["lang", "bucket", "h"]).groupBy("lang", "bucket").agg(F.min("text").alias("text"))

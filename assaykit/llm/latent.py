@@ -361,5 +361,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a match; a null doc_id goes when any such document matches."""
-    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "leaks")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    found = written(leaks(docs, benchmark).select(F.col("doc_id").alias("of")).distinct(), "leaks")
+    # the row travels as one struct, so no column of it can meet one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("known"))
+    return whole.join(found, F.col("known").eqNullSafe(F.col("of")), "left_anti").select("row.*")

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from assaykit.llm.common import SPACES, written
 from assaykit.llm.components import components
@@ -285,11 +286,12 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
         F.struct("doc_id", "line_no").alias("at"), "class_id"), "line-places")
     first = rows.groupBy("class_id").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
     repeats = rows.join(first, "class_id").filter("at != first").select("at.*").distinct()
-    gone = repeats.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_gone"))
+    gone = repeats.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("line_no").alias("gone"))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text",
-        F.coalesce("_gone", F.array().cast("array<bigint>")).alias("gone"))
+    # the row travels as one struct, so no column of it can meet one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text", F.col("doc_id").alias("known"))
+    joined = whole.join(gone, F.col("known").eqNullSafe(F.col("of")), "left").select(
+        "row", "text", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +304,8 @@ def without_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()),
                                               pa.compute.list_value_length(batch.column(2))], ["row", "text", "gone"])
 
-    row_type = joined.schema["row"].dataType.simpleString()
-    kept = joined.mapInArrow(run, f"row {row_type}, text string, gone int").filter(
+    schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("gone", IntegerType())])
+    kept = joined.mapInArrow(run, schema).filter(
         (F.col("gone") == 0) | (F.btrim("text", F.lit(SPACES)) != ""))
-    kept = kept.select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
-    return kept.select(*docs.columns)
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[own[c].alias(c) if c in own else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

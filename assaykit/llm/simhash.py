@@ -194,8 +194,10 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIU
     """
     known = F.coalesce(F.col("doc_id"), F.lit(-(2 ** 63)))
     ids = docs.select(known.alias("doc_id"), "text")
-    kept = near_duplicates(ids, words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return (docs.join(kept, known == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    kept = near_duplicates(ids, words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("known")).distinct()
+    # the row travels as one struct, so no column of it can meet one of ours
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known.alias("known"), "text")
+    return whole.join(kept, "known", "left_semi").dropDuplicates(["known", "text"]).select("row.*")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
