@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from assaykit.functions import hashing, pii, rescale as R, retry
 from assaykit.operators import aggregates as A, joins as J, normalize as N, outbox as O
-from assaykit.operators import reads, timeseries as TS
+from assaykit.operators import reads, timeseries as TS, validate as V
 from assaykit.plans import pipeline as P
 from assaykit.schemas import (
-    BUCKETS_HTTP_SECONDS, OUTBOX_FAILED, OUTBOX_FLUSHED, OUTBOX_PENDING,
+    BUCKETS_BATCH_SIZE, BUCKETS_HTTP_SECONDS, OUTBOX_FAILED, OUTBOX_FLUSHED, OUTBOX_PENDING,
 )
 from assaykit.sources import synth
 from assaykit.sources.payloads import explode_batch
@@ -168,10 +168,23 @@ def v_post(spark, sf):
 
 @query("v_output")
 def v_output(spark, sf):
-    """Payloads reaching the output re-check, and how many it rejects."""
-    g = _gate(spark, sf).filter(F.col("stage").isin("output", P.STAGE_OK))
-    return g.groupBy("provider").agg(F.count("*").alias("n_checked"),
-                                     F.count_if(F.col("stage") == "output").alias("n_rejected"))
+    """The invariant check run on every normalized payload, whatever the check before it said."""
+    g = _gate(spark, sf).filter(F.col("stage").isin("post", "output", P.STAGE_OK))
+    errors = F.size(F.expr(V.output_errors()))
+    return g.select("provider", errors.alias("errors")).groupBy("provider").agg(
+        F.count("*").alias("n_checked"), F.count_if(F.col("errors") > 0).alias("n_rejected"),
+        F.sum("errors").cast("long").alias("n_errors"))
+
+
+@query("v_empty")
+def v_empty(spark, sf):
+    """Every tenth payload without a body: the one violation it has, whatever its provider."""
+    b = synth.provider_b_payloads(_events(spark, sf))
+    n = F.regexp_extract("payload_id", r"(\d+)$", 1).cast("long")
+    provider = F.element_at(F.array(*[F.lit(f"provider_{p}") for p in "abc"]), (n % 3 + 1).cast("int"))
+    some = b.withColumns({"provider": provider, "raw": F.when(n % 10 == 0, "").otherwise(F.col("raw"))})
+    g = P.run_gate(some, P.GateConfig(STRICT)).filter(F.col("input_size_bytes") == 0)
+    return g.select("payload_id", "provider", "error_kind", F.inline("pre_violations"))
 
 
 @query("classify_error")
@@ -560,6 +573,13 @@ def agg_histogram(spark, sf):
     return A.histogram(_latency(spark, sf), F.col("latency_s"), BUCKETS_HTTP_SECONDS, ["event_type"])
 
 
+@query("agg_histogram_batch")
+def agg_histogram_batch(spark, sf):
+    """Items per submission in the bounds for batch sizes."""
+    sizes = batch_outcome(spark, sf).select(F.lit("batch").alias("kind"), F.col("n_items").cast("double").alias("n_items"))
+    return A.histogram(sizes, F.col("n_items"), BUCKETS_BATCH_SIZE, ["kind"])
+
+
 @query("agg_histogram_quantile")
 def agg_histogram_quantile(spark, sf):
     q = A.histogram_quantiles(_latency(spark, sf), F.col("latency_s"), BUCKETS_HTTP_SECONDS, ["event_type"])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from assaykit.functions.pii import _pads
 from assaykit.plans.catalog import SALT
-from assaykit.schemas import BUCKETS_HTTP_SECONDS
+from assaykit.schemas import BUCKETS_BATCH_SIZE, BUCKETS_HTTP_SECONDS
 from assaykit.operators.aggregates import bucket_label
 
 _IPAD, _OPAD = _pads(SALT)
@@ -282,7 +282,13 @@ SELECT payload_id, 'provider_c',
 FROM c_over""")
 
 _o("v_output", f"""WITH {GATE}
-SELECT provider, count(*) AS n_checked, 0 AS n_rejected FROM g WHERE stage = 'ok' GROUP BY provider""")
+SELECT provider, count(*) AS n_checked, count(*) FILTER (stage = 'post') AS n_rejected, CAST(sum(n_post) AS BIGINT) AS n_errors
+FROM g WHERE stage IN ('ok', 'post') GROUP BY provider""")
+
+_o("v_empty", """SELECT 'b-' || CAST(event_id AS VARCHAR) AS payload_id,
+  ['provider_a', 'provider_b', 'provider_c'][event_id % 3 + 1] AS provider, 'validation' AS error_kind, 'body' AS field,
+  'non-empty input' AS expected, 'empty' AS actual, 'input body is empty' AS message
+FROM events WHERE event_id % 10 = 0""")
 
 _o("classify_error", f"""WITH {GATE}
 SELECT provider, {KIND} AS error_kind, count(*) AS n FROM g WHERE stage <> 'ok' GROUP BY ALL""")
@@ -893,3 +899,10 @@ UNION ALL SELECT 'plain', table_name, column_name, n_rows, n_leaks FROM l JOIN n
 # streams give what the batch queries give
 ORACLES["ts_rate_stream"] = ORACLES["ts_rate"]
 ORACLES["ts_alert_stream"] = ORACLES["ts_alert_sustained"]
+
+_o("agg_histogram_batch", f"""WITH bo AS ({ORACLES["batch_outcome"]}),
+bb(bucket_index, le, bound) AS (VALUES {", ".join(
+    f"({i}, '{bucket_label(b)}', {b}{D})" for i, b in enumerate(BUCKETS_BATCH_SIZE))},
+  ({len(BUCKETS_BATCH_SIZE)}, '+Inf', 'inf'::DOUBLE))
+SELECT 'batch' AS kind, CAST(bucket_index AS INTEGER) AS bucket_index, le, count(*) FILTER (n_items <= bound) AS bucket_count
+FROM bo CROSS JOIN bb GROUP BY bucket_index, le""")
