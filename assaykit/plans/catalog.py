@@ -1024,13 +1024,13 @@ def sink_errors(spark, sf):
 
 @query("sink_batches")
 def sink_batches(spark, sf):
-    """Eight batches of events, each with a third of the batch before it sent again: every key is stored once."""
+    """Five batches of events, each with a third of the batch before it sent again: every key is stored once."""
     store = _store(spark, "sink-batches")
     e = _events(spark, sf)
-    turn = F.pmod(F.col("event_id"), F.lit(8))
+    turn = F.pmod(F.col("event_id"), F.lit(5))
     again = F.col("event_id") % 3 == 0
-    for n in range(8):
-        part = e.filter((turn == n) | ((turn == (n + 7) % 8) & again))
+    for n in range(5):
+        part = e.filter((turn == n) | ((turn == (n + 4) % 5) & again))
         store.write_gate_batch(P.run_gate(synth.provider_a_payloads(part).unionByName(synth.provider_b_payloads(part)),
                                           P.GateConfig(STRICT)), n)
     out = [store.read(t).groupBy(F.col(c).alias("provider")).agg(F.count("*").alias("n"), F.countDistinct(*k).alias("n_keys"))
