@@ -43,9 +43,17 @@ LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 #: Words predicted at once, words of a chunk in forward-backward, remembered words.
 BATCH_WORDS, CHUNK, CACHE_WORDS = 300_000, 128, 400_000
 
-#: Characters that count as word characters in patterns but are no letters: fractions, superscripts, Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-words_of = re.compile(rf"[^\W\d_{_NUMERALS}]+").findall
+#: Characters that patterns take for word characters though they are no letters: fractions, superscripts, Roman numerals.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x110000))
+                                    if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_letters = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters (Unicode categories L) of a text."""
+    if not text.isascii() and _NUMERAL.search(text):
+        text = _NUMERAL.sub(" ", text)
+    return _letters(text)
 
 
 @dataclass
