@@ -44,15 +44,20 @@ LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 BATCH_WORDS, CHUNK, CACHE_WORDS = 300_000, 128, 400_000
 
 #: Characters that patterns take for word characters though they are no letters: fractions, superscripts, Roman numerals.
-_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x110000))
-                                    if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_NUMERALS = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+#: One table look-up a character up to U+FFFF; the others are only looked for in texts that go beyond it.
+_NUMERAL = re.compile("[" + "".join(c for c in _NUMERALS if c <= "\uffff") + "]")
+_HIGH_NUMERAL = re.compile("[" + "".join(c for c in _NUMERALS if c > "\uffff") + "]")
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str) -> list[str]:
     """The runs of letters (Unicode categories L) of a text."""
-    if not text.isascii() and _NUMERAL.search(text):
-        text = _NUMERAL.sub(" ", text)
+    if not text.isascii():
+        if _NUMERAL.search(text):
+            text = _NUMERAL.sub(" ", text)
+        if max(text) > "\uffff":
+            text = _HIGH_NUMERAL.sub(" ", text)
     return _letters(text)
 
 
