@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from assaykit import get_spark
-    s = get_spark("local[4]", shuffle_partitions=8)
+    s = get_spark("local[4]", shuffle_partitions=8, extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
 
