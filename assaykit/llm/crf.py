@@ -262,12 +262,14 @@ class Tagger:
 def sample(docs: DataFrame, train: Column) -> list[tuple[str, str]]:
     """(label, text) of the bounded training sample; what goes to the driver is bounded by the two parameters and the labels.
 
-    Any labelled row can be chosen, by the hash of its id; of a chosen text the first ``SAMPLE_CHARS`` characters are
-    learned from. Predictions read whole texts.
+    Rows are chosen by the hash of their id among a label's texts of at most ``SAMPLE_CHARS`` characters; a label that
+    has longer ones only is learned from the first ``SAMPLE_CHARS`` characters of those. Predictions read whole texts.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_BUCKETS)).alias("bucket"),
+        "lang", (F.length("text") > SAMPLE_CHARS).alias("long"), F.substring("text", 1, SAMPLE_CHARS).alias("text"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_BUCKETS)).alias("bucket"),
         F.xxhash64(F.lit("sample"), "doc_id").alias("h"))
+    rows = rows.join(rows.groupBy("lang").agg(F.min("long").alias("long")), ["lang", "long"])
     chosen = written(rows.groupBy("lang", "bucket").agg(F.min("h").alias("h")), "language-sample")
     found = rows.join(chosen, ["lang", "bucket", "h"]).groupBy("lang", "bucket").agg(F.min("text").alias("text"))
     return sorted((r["lang"], r["text"]) for r in found.select("lang", "text").collect())
