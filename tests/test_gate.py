@@ -139,3 +139,14 @@ def test_audit_steps_follow_stages(payloads):
     steps = [s["step"] for s in json.loads(r["transformations"])]
     assert steps == ["validate_pre_transform", "validate_input", "normalize", "validate_post_transform",
                      "validate_output", "pii_scrub"]
+
+
+def test_payloads_of_one_split_are_dealt_to_all_cores_without_a_setting(spark):
+    from assaykit.plans import pipeline as P
+    kept = spark.conf.get(P.GATE_PARTITIONS_CONF)
+    spark.conf.unset(P.GATE_PARTITIONS_CONF)
+    try:
+        one = spark.range(1000).coalesce(1)
+        assert P.spread(one).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(P.GATE_PARTITIONS_CONF, kept)

@@ -135,3 +135,17 @@ def test_newest_rows_stop_when_no_other_file_matters(many):
     some = many.newest("failed_records", 5, provider="p0")
     assert [r.input_hash for r in some.collect()] == ["h28-0", "h28-1", "h28-2", "h28-3", "h26-0"]
     assert many.newest("failed_records", 1000).count() == 120
+
+
+def test_the_log_holds_no_key_filters_and_the_commit_reads_no_stored_rows(spark):
+    store = new_store(spark)
+    store.begin(0)
+    store._write("failed_records", failed(spark, *[(f"h{i}", "p", 0) for i in range(40)]), 0)
+    read = [f for part in store._done for f in part.inputFiles()]
+    assert read and all("/_index/" in f for f in read)
+    store._commit(0)
+    assert "key_filter" not in store.log().columns
+    key = X.key_hash(X.row_key(["input_hash", "provider"]))
+    assert len(store.holding("failed_records", failed(spark, ("h7", "p", 0)).select(key))) == 1
+    assert store.holding("failed_records", failed(spark, ("other", "p", 0)).select(key)) == []
+    assert store.read("failed_records", id="id-h7-p").count() == 1
