@@ -46,8 +46,15 @@ def leak_counts(df: DataFrame, identifiers: DataFrame, col: str) -> DataFrame:
     All automata read a cell in one pass, so that one that several of them hit counts once; a task makes them one after
     another as it needs them, and keeps them.
     """
+    return _counts(df, _sent(identifiers, col))
+
+
+def _sent(identifiers: DataFrame, col: str) -> list:
+    return [identifiers.sparkSession.sparkContext.broadcast(ids) for ids in _shards(identifiers, col)]
+
+
+def _counts(df: DataFrame, sent: list) -> DataFrame:
     cells, names = df.select(*_texts(df)), df.columns
-    sent = [df.sparkSession.sparkContext.broadcast(ids) for ids in _shards(identifiers, col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = [_automaton(ids.value) for ids in sent if ids.value]
@@ -82,6 +89,7 @@ def _held(automaton: ahocorasick.Automaton, cell: str) -> bool:
 
 
 def scan_tables(tables: dict[str, DataFrame], identifiers: DataFrame, col: str) -> DataFrame:
-    """(table_name, column_name, n_rows, n_leaks) over every column of several tables."""
+    """(table_name, column_name, n_rows, n_leaks) over every column of several tables; the identifiers are read once."""
+    sent = _sent(identifiers, col)
     return functools.reduce(DataFrame.unionByName, [
-        leak_counts(df, identifiers, col).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
+        _counts(df, sent).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
