@@ -4,7 +4,6 @@ import json
 from types import SimpleNamespace
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from assaykit.functions import jsonx
@@ -12,14 +11,15 @@ from assaykit.operators import leaks
 from assaykit.plans import catalog
 from assaykit.streaming.jobs import _exact_fold
 
-SF = "/root/testdata/sf0.001"
 
-
-@pytest.mark.parametrize("make", [lambda s: catalog._replay_inputs(s, SF), lambda s: catalog._messages(s, SF)[0],
-                                  lambda s: catalog._messages(s, SF)[1]])
-def test_failures_and_messages_are_read_from_what_the_gate_wrote(spark, make):
-    files = make(spark).inputFiles()
-    assert files and not any("events.parquet" in f for f in files)
+def test_failures_and_messages_are_read_from_what_the_gate_wrote(spark, tmp_path):
+    spark.range(1, 200).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-05 10:00:00' AS ts", "id % 7 AS user_id", "'click' AS event_type",
+        "CAST(id AS double) AS value", """concat('{"k": ', id % 90, '}') AS props""").write.parquet(f"{tmp_path}/events.parquet")
+    env, legacy, _ = catalog._messages(spark, str(tmp_path))
+    for rows in (catalog._replay_inputs(spark, str(tmp_path)), env, legacy):
+        files = rows.inputFiles()
+        assert files and not any("events.parquet" in f for f in files) and rows.count()
 
 
 def test_one_call_of_the_duplicate_window_takes_many_keys():
