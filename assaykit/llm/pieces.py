@@ -80,7 +80,7 @@ class PieceCoder:
             raise ValueError("a model with identity normalization and a word mark in front is needed")
         if any(re.search(f"\n|[^{MARK}]{MARK}|{LETTER}{STOP}", self.text[i]) for i in plain):
             raise ValueError("a model whose pieces span no word or line end is needed")
-        self.score = {self.text[i]: -lib.get_score(i) for i in plain}       # least first
+        self.score = {self.text[i]: lib.get_score(i) for i in plain}        # greatest first
         self.id_of = {self.text[i]: i for i in plain}
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.find = re.compile(f"{MARK}*{LETTER}+(?={STOP})|{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+").findall
@@ -93,7 +93,7 @@ class PieceCoder:
         """Ids of one segment by the score-ordered agenda, and whether byte pieces are among them."""
         score, n = self.score.get, len(segment)
         symbol: list[str] = list(segment)
-        agenda = [(s, i, 2) for i, s in enumerate(map(score, map(add, symbol, symbol[1:]))) if s is not None]
+        agenda = [(-s, i, 2) for i, s in enumerate(map(score, map(add, symbol, symbol[1:]))) if s is not None]
         if agenda:
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             heapify(agenda)
@@ -109,9 +109,9 @@ class PieceCoder:
             if k < n:
                 before[k] = i
                 if (s := score(merged + symbol[k])) is not None:
-                    heappush(agenda, (s, i, size + len(symbol[k])))
+                    heappush(agenda, (-s, i, size + len(symbol[k])))
             if h >= 0 and (s := score(symbol[h] + merged)) is not None:
-                heappush(agenda, (s, h, size + len(symbol[h])))
+                heappush(agenda, (-s, h, size + len(symbol[h])))
         ids = [*map(self.id_of.get, filter(None, symbol))]
         if None not in ids:
             return ids, False
