@@ -180,3 +180,9 @@ def test_no_training_rows(make_docs):
     assert maxent.score_report(make_docs([])).count() == 0
     r = maxent.score(make_docs([(1, "a b")]), F.lit(False)).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0) and r["base_score"] == 0
+
+
+def test_a_head_word_is_common_however_rare(spark):
+    counts = spark.createDataFrame([(5, 2_000_000), (-3, 1), (9, 1)], "w bigint, c bigint")
+    words, held = maxent._common(counts, 2_000_002, np.array([5, -3], np.int64).view(np.uint64))
+    assert words.view(np.int64).tolist() == [5, -3] and held.tolist() == [2_000_000, 1]
