@@ -26,6 +26,27 @@ def test_writers_with_the_same_batch_id_keep_their_rows(spark, payloads):
     both.unpersist()
 
 
+def test_a_batch_computes_its_rows_once(spark, payloads, monkeypatch):
+    store = TableStore(spark, scratch_dir(spark, "t-computed-once"))
+    read, write = {}, TableStore._write
+    monkeypatch.setattr(TableStore, "_write", lambda self, table, df, n: read.setdefault(table, df.inputFiles()) and None
+                        or write(self, table, df, n))
+    store.write_gate_batch(P.run_gate(payloads(("provider_b", B % (1, 5)), ("provider_b", "bad"))), 0)
+    assert len(read) == 5 and all(files and all("/_work/" in f for f in files) for files in read.values())
+    left = spark.read.schema("payload_id string").option("recursiveFileLookup", "true").parquet(f"{store.root}/_work")
+    assert left.count() == 0
+
+
+def test_rows_with_one_id_give_one_assessment_audit_and_outbox_row_of_the_same_message(spark, payloads):
+    rows = P.assessment_rows(P.run_gate(payloads(*[("provider_b", B % (i, i)) for i in range(20)])))
+    store = TableStore(spark, scratch_dir(spark, "t-one-id"))
+    store.write_envelope_batch(rows.withColumn("id", F.lit("one")), 0)
+    stored, audit, box = (store.read(t).first() for t in ("assessments", "normalization_audit_log", "outbox"))
+    told = json.loads(box.payload)
+    assert told["assessment"]["scores"][0]["value"] == stored.scores[0]["value"]
+    assert told["audit"]["input_hash"] == audit.input_hash and store.read("outbox").count() == 1
+
+
 def test_batches_without_rows_of_a_kind(spark, payloads):
     store = TableStore(spark, scratch_dir(spark, "t-empty"))
     store.write_gate_batch(P.run_gate(payloads(("provider_b", "bad"))), 0)               # all failed
