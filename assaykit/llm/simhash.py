@@ -190,14 +190,23 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """The documents that stand for their group: those with the smallest doc_id (rows equal in doc_id and text: once).
 
-    A null doc_id counts as smaller than any other here, so that such a document can stand for its group.
+    A null doc_id counts as smaller than any other here, so that such a document can stand for its group. Only the ids
+    that go and the (id, text hash) pairs that repeat are joined to the rows; whole rows are shuffled where those are
+    too many to broadcast, and rows are sorted only if they repeat.
     """
     known = F.coalesce(F.col("doc_id"), F.lit(-(2 ** 63)))
     ids = docs.select(known.alias("doc_id"), "text")
-    kept = near_duplicates(ids, words, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("known")).distinct()
-    # the row travels as one struct, so no column of it can meet one of ours
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known.alias("known"), "text")
-    return whole.join(kept, "known", "left_semi").dropDuplicates(["known", "text"]).select("row.*")
+    gone = written(near_duplicates(ids, words, radius).groupBy(F.col("doc_id").alias("known"))
+                   .agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+                   .filter("NOT stays").select("known"), "near-duplicates-gone")
+    # the row travels as one struct, so no column of it can meet one of ours; a null text is not an empty one
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), known.alias("known"),
+                        F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"))
+    pair = ["known", "digest"]
+    again = written(whole.groupBy(*pair).count().filter("count > 1").select(*pair), "repeated-rows")
+    left = whole.join(gone, "known", "left_anti")
+    repeated = left.join(again, pair, "left_semi").dropDuplicates(pair)
+    return left.join(again, pair, "left_anti").unionByName(repeated).select("row.*")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

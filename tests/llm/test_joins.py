@@ -169,6 +169,16 @@ def test_simhash_equals_brute_force(make_docs, odd_rows):
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
 
+def test_only_rows_that_repeat_are_sorted(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (3, None), (3, ""), (4, "x y z u v w"), (4, "p q r s t")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    kept = simhash.one_of_each(docs)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(1, "a b c d e"), (3, None), (3, ""), (4, "x y z u v w"), (4, "p q r s t")])
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 4    # few ids go, few rows repeat: no row is shuffled
+
+
 def test_tiles_lose_no_link(monkeypatch):
     monkeypatch.setattr(simhash, "SUB_ROWS", 8)
     rng = np.random.default_rng(3)
