@@ -150,3 +150,23 @@ def test_payloads_of_one_split_are_dealt_to_all_cores_without_a_setting(spark):
         assert P.spread(one).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set(P.GATE_PARTITIONS_CONF, kept)
+
+
+def test_post_check_builds_no_lists_for_a_clean_payload(spark):
+    # 'actual' is made by the list-building branch only: the plain test must answer for clean rows, and only for them
+    from assaykit.operators import validate as V
+    shape = ("provider string, assessments array<struct<patient_id: string, assessment_type: string, "
+             "scores: array<struct<dimension: string, value: double, scale: string>>>>")
+
+    def row(pid="P", kind="t", scores=(("x", 5.0, "0-100"),), provider="provider_b"):
+        return provider, [("P", "t", [("y", 0.0, "0-100"), ("z", 100.0, "0-100")]), (pid, kind, scores and list(scores))]
+
+    rows = [row(), row(None, None), row(scores=((None, 1.0, None),)), row(""), row(kind=""), row(scores=()), row(provider=""),
+            row(scores=(("x", -0.5, "0-100"),)), row(scores=(("x", float("nan"), "0-100"),)), row(scores=(("x", None, "0-100"),)),
+            row(scores=(("", 5.0, "0-100"),)), row(scores=(("x", 5.0, "0-10"),)), row(scores=None), ("provider_b", [])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, {shape}").repartition(1)
+    got = [r[0] for r in df.sortWithinPartitions("i").selectExpr(f"transform({V.post()}, x -> x.field)").collect()]
+    assert got == [[], [], [], ["patientId"], ["assessmentType"], ["scores"], ["metadata.sourceProvider"] * 2,
+                   ["scores[0].value"], ["scores[0].value"], ["scores[0].value"], ["scores[0].dimension"], ["scores[0].scale"],
+                   None, []]
+    assert V.post().startswith("CASE WHEN NOT exists(")

@@ -60,3 +60,25 @@ def test_output_checks_are_subset_of_post(spark, payloads):
     g = P.run_gate(payloads(("provider_b", '{"patient_id": "P", "assessment_type": "t", "score_x": 5}')))
     row = g.selectExpr(f"{V.output_errors()} AS oe", "stage").first()
     assert row["stage"] == "ok" and row["oe"] == []
+
+
+def _optimized(name, spark):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _json_reads(plan, source):
+    """How often the plan parses a JSON text again that it has just written."""
+    return plan.count(f"get_json_object({source}") + plan.count("from_json(") + plan.count("JsonToStructsEvaluator")
+
+
+def test_events_are_dealt_instead_of_their_payloads(spark):
+    conf = P.GATE_PARTITIONS_CONF
+    old = spark.conf.get(conf)
+    spark.conf.unset(conf)          # cluster setting
+    try:
+        plan = _optimized("assign_id", spark)
+    finally:
+        spark.conf.set(conf, old)
+    dealt = [line for line in plan.splitlines() if "Repartition " in line]
+    above = plan[:plan.index("Repartition ")]
+    assert len(dealt) == 2 and "Union" in above      # once a single-event format, below the union of the formats
