@@ -71,6 +71,11 @@ def _json_reads(plan, source):
     return plan.count(f"get_json_object({source}") + plan.count("from_json(") + plan.count("JsonToStructsEvaluator")
 
 
+def test_envelope_is_read_back_by_one_parse(spark):
+    plan = _optimized("build_envelope", spark)
+    assert _json_reads(plan, "payload") == 1
+
+
 def test_events_are_dealt_instead_of_their_payloads(spark):
     conf = P.GATE_PARTITIONS_CONF
     old = spark.conf.get(conf)
