@@ -76,6 +76,11 @@ def test_envelope_is_read_back_by_one_parse(spark):
     assert _json_reads(plan, "payload") == 1
 
 
+def test_camel_json_is_read_back_by_one_parse(spark):
+    plan = _optimized("camel_json", spark)
+    assert _json_reads(plan, "j#") == 1
+
+
 def test_events_are_dealt_instead_of_their_payloads(spark):
     conf = P.GATE_PARTITIONS_CONF
     old = spark.conf.get(conf)
