@@ -16,6 +16,8 @@ bounded even when one user holds a large share of all events.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assaykit.schemas import PROVIDER_A, PROVIDER_B, PROVIDER_C
@@ -141,12 +143,13 @@ def batch_submissions(events: DataFrame) -> DataFrame:
         body.alias("body"), "received_at")
 
 
-def mixed_payloads(events: DataFrame, dealt: DataFrame | None = None) -> DataFrame:
+def mixed_payloads(events: DataFrame, deal: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """All three formats in one payload table.
 
-    ``dealt``: the same events in other partitions, which the payloads of one event each are made from.
+    ``deal`` may put rows into other partitions: the events that payloads of one event are made from, and the grouped
+    payloads, which otherwise come in as few partitions as their grouping leaves.
     """
-    single = events if dealt is None else dealt
+    single = deal(events)
     return (provider_a_payloads(single)
             .unionByName(provider_b_payloads(single))
-            .unionByName(provider_c_payloads(events)))
+            .unionByName(deal(provider_c_payloads(events))))

@@ -91,4 +91,4 @@ def test_events_are_dealt_instead_of_their_payloads(spark):
         spark.conf.set(conf, old)
     dealt = [line for line in plan.splitlines() if "Repartition " in line]
     above = plan[:plan.index("Repartition ")]
-    assert len(dealt) == 2 and "Union" in above      # once a single-event format, below the union of the formats
+    assert len(dealt) == 3 and "Union" in above      # once a format, below the union of the formats
