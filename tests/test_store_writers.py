@@ -37,6 +37,26 @@ def test_a_batch_computes_its_rows_once(spark, payloads, monkeypatch):
     assert left.count() == 0
 
 
+def test_an_envelope_is_made_once_after_its_row_is_dealt(spark, payloads, monkeypatch):
+    made, envelope = spark.sparkContext.accumulator(0), P.envelope_json
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    store, dealt, write = TableStore(spark, scratch_dir(spark, "t-envelopes")), {}, TableStore._write
+    monkeypatch.setattr(P, "envelope_json", lambda a: counted(envelope(a)))
+    monkeypatch.setattr(TableStore, "_write", lambda self, table, df, n: dealt.update(
+        {table: df._jdf.queryExecution().logical().toString()}) or write(self, table, df, n))
+    store.write_gate_batch(P.run_gate(payloads(*[("provider_b", B % (i, i)) for i in range(40)])), 0)
+    assert made.value == store.read("outbox").count() == 40
+    assert {t for t, plan in dealt.items() if "RepartitionByExpression" in plan} == {"normalization_audit_log", "outbox"}
+    ids = [{r[0] for r in store.read(t).select(c).collect()} for t, c in (
+        ("assessments", "id"), ("normalization_audit_log", "assessment_id"), ("outbox", "assessment_id"))]
+    assert len(ids[0]) == 40 and ids[0] == ids[1] == ids[2]
+
+
 def test_rows_with_one_id_give_one_assessment_audit_and_outbox_row_of_the_same_message(spark, payloads):
     rows = P.assessment_rows(P.run_gate(payloads(*[("provider_b", B % (i, i)) for i in range(20)])))
     store = TableStore(spark, scratch_dir(spark, "t-one-id"))
