@@ -2,11 +2,14 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assaykit.operators import joins as J, leaks
 from assaykit.operators.sinks import SinkRegistry, stdout_sender
+from assaykit.plans import catalog, pipeline as P
+from assaykit.session import scratch_dir
 
 
 def flaky(fails):
@@ -58,3 +61,33 @@ def test_planted_identifier_is_found_in_any_column(spark, monkeypatch):
     monkeypatch.setattr(leaks, "MOST_IDS", 5)
     with pytest.raises(ValueError):
         leaks.leak_counts(df, ids.withColumn("pid", F.upper("pid")), "pid")
+
+
+def test_clean_cells_are_read_together():
+    class Counting:
+        def __init__(self, ids):
+            self.made, self.read = leaks._automaton(ids), []
+
+        def iter(self, text):
+            self.read.append(text)
+            return self.made.iter(text)
+
+    a = Counting(["U1", "U22", "2\n3"])
+    assert leaks._leaks(pa.array(["x", None, "y U9", "x", ""] * 50), [a]) == 0 and len(a.read) == 1
+    # an identifier at the edge of a cell, one that several cells hold, one that only two cells together hold
+    assert leaks._leaks(pa.array(["U1", "a", "aU1", "U1", "-U22", None, "U222"]), [a]) == 3
+    assert leaks._leaks(pa.array(["12", "3"]), [Counting(["2\n3", "2"]), Counting(["x"])]) == 0
+    assert leaks._leaks(pa.array([], pa.string()), [a]) == leaks._leaks(pa.array([None], pa.string()), [a]) == 0
+
+
+def test_the_stages_run_once_for_both_policies(spark, monkeypatch):
+    rows = [(i, dt.datetime(2024, 1, 1, 0, i), 7, "view", 5.0, '{"k": 3}') for i in range(1, 6)]
+    root = scratch_dir(spark, "t-leak-tables")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+                          ).write.parquet(f"{root}/events.parquet")
+    runs, decided = [], P.decided
+    monkeypatch.setattr(P, "decided", lambda *a, **b: runs.append(1) or decided(*a, **b))
+    out = {(r.policy, r.table_name, r.column_name): r.n_leaks for r in catalog.QUERIES["pii_leak_tables"](spark, root).collect()}
+    assert len(runs) == 1
+    assert out["plain", "assessments", "patient_id"] > 0 and out["plain", "outbox", "payload"] > 0
+    assert not any(n for (policy, *_), n in out.items() if policy == "strict")
