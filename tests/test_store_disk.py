@@ -51,15 +51,15 @@ def test_a_batch_holds_no_text_of_accepted_payloads_and_frees_what_was_read(spar
             texts.extend(out.filter("raw IS NOT NULL").select("raw").toPandas()["raw"])
         return out
 
-    def freed(self, n):
-        let_go(self, n)
+    def freed(self, n, last=None):
+        let_go(self, n, last)
         held.append([spark.read.schema("id string").parquet(f"{self._work}/{k + 1}").count() for k in range(self._held)])
     monkeypatch.setattr(TableStore, "_kept", seen)
     monkeypatch.setattr(TableStore, "_let_go", freed)
     store.write_gate_batch(P.run_gate(rows), 0)
     assert sorted(texts) == ["bad", "who"]
-    # after each group of tables only the gate is left
-    assert [h[1:] for h in held] == [[0], [0, 0], [0, 0, 0]] and all(h[0] == 7 for h in held)
+    # the gate until its last reader, what each table keeps until it is written, the assessments for all three of theirs
+    assert held == [[7, 0], [7, 0, 0], [0, 0, 0, 5], [0, 0, 0, 0]]
     assert store.read("assessments").count() == store.read("outbox").count() == 5
     assert {r.provider for r in store.read("failed_records").collect()} == {"provider_b", None}
     store.write_gate_batch(P.run_gate(rows), 1)             # everything is stored already
